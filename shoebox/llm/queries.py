@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, warc
+from . import exact_dedup, license_scan, minhash, mixing, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_license_scan": license_scan.op7_license_scan,
 }
 
 ORACLES = {
