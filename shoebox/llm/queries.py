@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, minhash, mixing, warc
+from . import exact_dedup, license_scan, minhash, mixing, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_license_scan": license_scan.op7_license_scan,
+    "op10_token_files": token_files.op10_token_files,
 }
 
 ORACLES = {
