@@ -32,24 +32,29 @@ def facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full:
     return norm.select(*cols, *([F.sha2(F.col("norm").cast("binary"), 256).alias("full_hash")] if full else []))
 
 
-def shared_only(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose ``keys`` occur at least twice."""
-    many = rows.groupBy(*keys).count().filter("count > 1").select(*keys)
-    return rows.join(many, keys, "left_semi")
+def shared_only(packed: DataFrame, keys: list[str]) -> DataFrame:
+    """The packed rows whose ``keys`` stand for at least two documents."""
+    many = packed.groupBy(*keys).agg(F.sum("n").alias("n")).filter("n > 1").select(*keys)
+    return packed.join(many, keys, "left_semi")
 
 
 def groups(table: DataFrame, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(full_hash, keep_id, group_size) of the groups of at least two rows.
 
-    ``table`` holds :func:`facts`. Where it lacks the full hash, ``docs`` is read
-    again for the ids that survive length and prefix, and only their texts are hashed.
+    ``table`` holds :func:`facts`. Equal rows are packed into one with a count before
+    they meet, so a group of copies is one row however large it is. Where the table
+    lacks the full hash, ``docs`` is read again for the ids that survive length and
+    prefix, and only their texts are hashed.
     """
-    left = shared_only(shared_only(table, ["n_bytes"]), ["n_bytes", "prefix_hash"])
-    if "full_hash" not in table.columns:
-        wanted = left.select(F.col("doc_id").alias("__want")).distinct()
-        again = docs.join(wanted, F.col(id_col).eqNullSafe(F.col("__want")), "left_semi")
-        left = facts(again, id_col, text_col)
-    return left.groupBy(*LEVELS).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1").drop("n_bytes", "prefix_hash")
+    full = "full_hash" in table.columns
+    keys = list(LEVELS if full else LEVELS[:2])
+    packed = table.groupBy(*keys).agg(F.count("*").alias("n"), F.min("doc_id").alias("keep_id"))
+    left = shared_only(shared_only(packed, ["n_bytes"]), ["n_bytes", "prefix_hash"])
+    if not full:
+        wanted = table.join(left.select(*keys), keys, "left_semi").select(F.col("doc_id").alias("__want")).distinct()
+        again = facts(docs.join(wanted, F.col(id_col).eqNullSafe(F.col("__want")), "left_semi"), id_col, text_col)
+        left = again.groupBy(*LEVELS).agg(F.count("*").alias("n"), F.min("doc_id").alias("keep_id"))
+    return left.filter("n > 1").select("full_hash", "keep_id", F.col("n").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,7 +80,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Texts of groups are one row each; all other rows pass by the anti join.
     keyed = docs.withColumn("__digest", digest)
     found = found.select(F.col("full_hash").alias("__digest"), F.col("keep_id").alias("__keep"))
-    joined = keyed.join(found, "__digest", "left").withColumn("__grouped", F.col("__digest").isNotNull())
+    joined = keyed.join(found, "__digest", "left")
     stays = joined.filter(F.col("__keep").isNull() | F.col(id_col).eqNullSafe(F.col("__keep")))
     return stays.dropDuplicates([id_col, "__digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
