@@ -1,8 +1,9 @@
 """Connected components of an edge table by union-find, without a driver-side graph.
 
-Each partition first contracts its own edges with a union-find forest; the stars
-that are left are merged by alternating large-star and small-star steps until they
-no longer change. The tables of each step are written to the shared folder.
+Each partition first contracts its own edges with a union-find forest. Where what is
+left is small, one task finishes it; beyond ``ONE_TASK_EDGES``, the stars are merged by
+alternating large-star and small-star steps until they no longer change. The tables of
+each step are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from .store import discard, materialize, table_dir
 
 ROUNDS = 60
+#: Edges that one task may finish; its forest then takes some 150 MB at most.
+ONE_TASK_EDGES = 500_000
 
 
 class UnionFind:
@@ -64,11 +67,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, component) for each node of ``edges`` (u, v) that isn't its component's smallest."""
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["u"]
-    state = materialize(edges.filter("u <> v").mapInArrow(_contract, f"u {kind}, v {kind}"), "components")
+    contract = f"u {kind}, v {kind}"
+    state = materialize(edges.filter("u <> v").mapInArrow(_contract, contract), "components")
+    if state.count() <= one_task:
+        whole = materialize(state.coalesce(1).mapInArrow(_contract, contract), "components")
+        discard(spark, table_dir(state))
+        return whole.select(F.col("u").alias("node"), F.col("v").alias("component"))
     mark = None
     for _ in range(ROUNDS):
         got = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

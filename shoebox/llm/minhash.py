@@ -8,8 +8,10 @@ value below the level, the rest can't change anything and the document stops.
 
 Documents with equal sets are one node from the start, so copies cost nothing
 later. Nodes that share a band are compared with one leader of their bucket, then
-joined to components; only nodes of a bucket that are still in different
-components are compared further. Every link is confirmed on the full sets.
+joined to components. Nodes of a bucket that are still in different components are
+compared with each other inside tasks, in blocks of bounded size: first by sketch,
+then on the full sets; a task emits no pairs but a forest of the links it found.
+Every link is confirmed on the full sets.
 
 Defined cases: null and empty texts, and texts without words, have an empty set,
 are linked with nothing and are kept; texts of fewer words than a shingle are one
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import UnionFind, connected_components
 from .store import discard, materialize, table_dir
 from .textscan import NON_SPACE, U64, Words, chunks, mix, text_bytes
 
@@ -35,14 +37,14 @@ SLOTS = 96
 BAND_ROWS = 4
 BANDS = SLOTS // BAND_ROWS
 #: Of two sets with similarity 0.8, 96 one-bit values differ in 9.6 on average (deviation 2.9).
-MOST_BITS = 34
+MOST_BITS = 30
 SHINGLE_WORDS = 5
 PERCENT = 80
 CHUNK = 1 << 21
 #: Rows of ids that a broadcast may hold (some 30 MB); beyond, the join is shuffled.
 BROADCAST_ROWS = 500_000
-#: Leaders are tried in so many rounds at most, while buckets hold many nodes of different components.
-LEADER_ROUNDS = 6
+#: Nodes of a bucket's block; a task compares two blocks at a time.
+BLOCK = 256
 _LEVEL = 40
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 
@@ -199,6 +201,87 @@ def _confirm(percent: int):
     return confirm
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with equal first three columns, which stand together."""
+    rest = None
+    for b in batches:
+        if rest is not None:
+            b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+        if not b.num_rows:
+            continue
+        fresh = np.zeros(b.num_rows, bool)
+        for i in range(3):
+            c = b.column(i).to_numpy()
+            fresh[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(fresh).tolist()]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            yield b.slice(lo, hi - lo)
+        rest = b.slice(cuts[-1])
+    if rest is not None:
+        yield rest
+
+
+def _differ(column: pa.Array) -> np.ndarray:
+    codes = column.dictionary_encode().indices.to_numpy()
+    return codes[:, None] != codes[None, :]
+
+
+def _hopeful(percent: int):
+    """Nodes that size and sketch allow to be linked with one of another component in their blocks."""
+
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches):
+            if g.num_rows < 2:
+                continue
+            n, s1, s2 = g.column(5).to_numpy(), *(g.column(i).to_numpy().view(np.uint64) for i in (6, 7))
+            bits = np.bitwise_count(s1[:, None] ^ s1[None, :]) + np.bitwise_count(s2[:, None] ^ s2[None, :])
+            fits = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+            some = (_differ(g.column(4)) & fits & (bits <= MOST_BITS)).any(axis=1)
+            if some.any():
+                yield pa.RecordBatch.from_arrays([g.column(0), g.column(3)], names=["key", "node"]).filter(pa.array(some))
+
+    return hopeful
+
+
+def common_sizes(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, from a bit matrix over the elements that any two share."""
+    sizes = np.array([len(x) for x in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = times[code] > 1
+    words = (int((times > 1).sum()) + 63) // 64
+    bits = np.zeros((len(sets), max(1, words) * 64), bool)
+    bits[owner[shared], place[code[shared]]] = True
+    packed = np.packbits(bits, axis=1).view(np.uint64)
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for i in range(len(sets)):
+        out[i, i:] = np.bitwise_count(packed[i] & packed[i:]).sum(axis=1)
+    return np.maximum(out, out.T)
+
+
+def _forest(percent: int):
+    """Links between components, as a forest for each pair of blocks."""
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches):
+            if g.num_rows < 2:
+                continue
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in g.column(5)]
+            n = np.array([len(x) for x in sets])
+            common = common_sizes(sets)
+            linked = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & _differ(g.column(4))
+            if linked.any():
+                union, node, found = UnionFind(), g.column(3).to_pylist(), []
+                for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
+                    if union.find(int(i)) != union.find(int(j)):
+                        union.union(int(i), int(j))
+                        found.append((node[i], node[j]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], names=["u", "v"])
+
+    return forest
+
+
 class NearDuplicates:
     """The steps of one run; ``rows`` has a row per document, ``component`` a row per merged node."""
 
@@ -214,24 +297,15 @@ class NearDuplicates:
     def run(self) -> DataFrame:
         """Result per document: doc_id, n_shingles, component_id, kept."""
         buckets = self._buckets()
-        spark = buckets.sparkSession
-        links = self._verified(self._leader_pairs(buckets, 0, None))
+        links = self._verified(self._leader_pairs(buckets))
         merged = connected_components(links)
-        for turn in range(1, LEADER_ROUNDS):
-            apart = materialize(self._apart(buckets, merged), "minhash-apart")
-            size = apart.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
-            got = size.agg(F.count("*").alias("n"), F.sum(F.col("s") * F.col("s") - F.col("q")).alias("pairs"), F.sum("s").alias("rows")).first()
-            if not got.n:
-                break
-            last = got.pairs <= 16 * got.rows or turn == LEADER_ROUNDS - 1
-            pairs = self._all_pairs(apart) if last else self._leader_pairs(apart, turn, "component")
-            more = self._verified(pairs)
-            links = materialize(links.union(more), "minhash-links")
-            merged = connected_components(links)
-            discard(spark, table_dir(apart))
-            if last:
-                break
-        return self._result(merged)
+        apart = self._blocks(self._apart(buckets, merged), ["node", "component", "n", "s1", "s2"])
+        hopeful = materialize(apart.mapInArrow(_hopeful(self.percent), "key long, node binary").distinct(), "minhash-hopeful")
+        facts = self.classes.select("node", "rep", "n").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sets = self._sets_of(hopeful.select("node").distinct().join(self.classes.select("node", "rep"), "node"))
+        rows = hopeful.join(facts.select("node", "component").join(sets, "node"), "node")
+        more = self._blocks(rows, ["node", "component", "shingles"]).mapInArrow(_forest(self.percent), "u binary, v binary")
+        return self._result(connected_components(links.union(more)))
 
     def _buckets(self) -> DataFrame:
         """(key, node) of the buckets with at least two nodes."""
@@ -239,35 +313,42 @@ class NearDuplicates:
         many = rows.groupBy("key").count().filter("count > 1").select("key")
         return materialize(rows.join(many, "key", "left_semi"), "minhash-buckets")
 
-    def _leader_pairs(self, buckets: DataFrame, turn: int, component: str | None) -> DataFrame:
-        """Each node with its bucket's leader, chosen anew each turn."""
-        lead = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), *([F.col(component)] if component else []))
-        leaders = buckets.groupBy("key").agg(F.min(lead).alias("lead"))
-        pairs = buckets.join(leaders, "key").filter("node <> lead.node")
-        if component:
-            pairs = pairs.filter(F.col(component) != F.col(f"lead.{component}"))
-        return pairs.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
+    def _leader_pairs(self, buckets: DataFrame) -> DataFrame:
+        """Each node with its bucket's leader."""
+        leaders = buckets.groupBy("key").agg(F.min("node").alias("lead"))
+        return buckets.join(leaders, "key").filter("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
 
     def _apart(self, buckets: DataFrame, merged: DataFrame) -> DataFrame:
-        """(key, node, component) of the buckets that hold nodes of several components."""
-        rows = buckets.join(merged, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        """(key, node, component, n, s1, s2) of the buckets that hold nodes of several components."""
+        facts = self.classes.select("node", "n", "s1", "s2").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rows = buckets.join(facts, "node")
         several = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-        return rows.join(several, "key", "left_semi")
+        return materialize(rows.join(several, "key", "left_semi"), "minhash-apart")
 
-    def _all_pairs(self, apart: DataFrame) -> DataFrame:
-        """Pairs of a bucket's nodes in different components that size and sketch allow to be linked."""
-        facts = self.classes.select("node", "n", "s1", "s2")
-        rows = apart.join(facts, "node")
-        a = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "component", "n", "s1", "s2")])
-        b = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "s1", "s2")])
-        pairs = a.join(b, "key").filter((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & self._possible())
-        return pairs.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
+    def _blocks(self, rows: DataFrame, columns: list[str]) -> DataFrame:
+        """The rows of each bucket dealt into pairs of blocks, which stand together and in order."""
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        dealt = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), *columns)
+        return dealt.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b")
 
     def _possible(self):
         fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
         bits = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
         return fits & (bits <= MOST_BITS)
 
+    def _sets_of(self, wanted: DataFrame) -> DataFrame:
+        """(node, shingles) of the nodes in ``wanted`` (node, rep), from the texts of their documents."""
+        wanted = materialize(wanted, "minhash-wanted")
+        ids = wanted.select(F.col("rep").alias("want")).distinct()
+        if wanted.count() <= BROADCAST_ROWS:
+            ids = F.broadcast(ids)
+        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("text")
+        sets = texts.mapInArrow(_sets(self.words), "node binary, shingles binary")
+        return materialize(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "minhash-sets")
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
         facts = self.classes.select("node", "rep", "n", "s1", "s2")
@@ -275,19 +356,12 @@ class NearDuplicates:
         b = facts.select(*[F.col(c).alias(f"{c}_b") for c in facts.columns])
         known = pairs.join(a, F.col("u") == F.col("node_a")).join(b, F.col("v") == F.col("node_b")).filter(self._possible())
         known = materialize(known.select("u", "v", "rep_a", "rep_b"), "minhash-pairs")
-        wanted = known.select(F.col("u").alias("node"), F.col("rep_a").alias("rep")).union(known.select("v", "rep_b")).distinct()
-        wanted = materialize(wanted, "minhash-wanted")
-        ids = wanted.select(F.col("rep").alias("want")).distinct()
-        if wanted.count() <= BROADCAST_ROWS:
-            ids = F.broadcast(ids)
-        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("text")
-        sets = texts.mapInArrow(_sets(self.words), "node binary, shingles binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-        sets = materialize(sets, "minhash-sets")
+        sets = self._sets_of(known.select(F.col("u").alias("node"), F.col("rep_a").alias("rep")).union(known.select("v", "rep_b")).distinct())
         left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
         both = known.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "x", "y")
         out = materialize(both.mapInArrow(_confirm(self.percent), "u binary, v binary"), "minhash-links")
-        for t in (sets, wanted, known):
+        for t in (sets, known):
             discard(t.sparkSession, table_dir(t))
         return out
 
