@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, minhash, mixing, token_files, warc
+from . import exact_dedup, license_scan, minhash, mixing, piece_sampling, token_counts, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_license_scan": license_scan.op7_license_scan,
+    "op8_sentencepiece_sampling": piece_sampling.op8_sentencepiece_sampling,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_token_files": token_files.op10_token_files,
 }
 

@@ -132,16 +132,16 @@ def gather(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class SegmentCache:
-    """Segment -> row of ``rows``, worked out by ``solve(segments, which)`` when first seen.
+    """Segment -> its number in ``stores``, to which ``solve(segments, which)`` appends those first seen.
 
-    ``solve`` returns (sizes, columns). Beyond ``most`` segments the cache starts anew.
+    Beyond ``most`` segments the cache starts anew.
     """
 
-    def __init__(self, most: int, solve, **kinds):
-        self.index, self.rows, self.solve = HashIndex(most), Rows(**kinds), solve
+    def __init__(self, most: int, solve, *stores: Rows):
+        self.index, self.solve, self.stores = HashIndex(most), solve, stores
 
     def resolve(self, seg: Segments) -> np.ndarray:
-        """Row number of each segment."""
+        """Number of each segment."""
         h = seg.hashes | U64(1)
         at = self.index.find(h)
         missing = np.flatnonzero(at < 0)
@@ -149,13 +149,13 @@ class SegmentCache:
             fresh, first = np.unique(h[missing], return_index=True)
             if self.index.size + len(fresh) > self.index.most:
                 self.index.clear()
-                self.rows.clear()
+                for rows in self.stores:
+                    rows.clear()
                 missing = np.arange(len(h))
                 fresh, first = np.unique(h, return_index=True)
                 if len(fresh) > self.index.most:
                     self.index = HashIndex(2 * len(fresh))
-            sizes, columns = self.solve(seg, missing[first])
-            self.rows.append(sizes, **columns)
+            self.solve(seg, missing[first])
             self.index.add(fresh)
             at[missing] = self.index.find(h[missing])
         return at

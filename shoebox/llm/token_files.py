@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .segments import SPACE, SegmentCache, Segments, cut_before_words, gather
+from .segments import SPACE, Rows, SegmentCache, Segments, cut_before_words, gather
 from .store import materialize, open_read, open_write, scratch, task_tag
 from .textscan import U64, chunks, mix, text_bytes
 
@@ -86,7 +86,9 @@ def encoder(path: str) -> tuple[SegmentCache, np.dtype]:
             ids.append(more[1])
         return np.concatenate(sizes), np.concatenate(ids)
 
-    def solve(seg: Segments, which: np.ndarray) -> tuple[np.ndarray, dict]:
+    store = Rows(ids=kind)
+
+    def solve(seg: Segments, which: np.ndarray) -> None:
         odd = np.concatenate([[0], np.cumsum(ODD[seg.data])])
         first = seg.data[seg.starts[which]] == SPACE
         plain = odd[seg.ends[which]] - odd[seg.starts[which]] == first
@@ -97,9 +99,9 @@ def encoder(path: str) -> tuple[SegmentCache, np.dtype]:
                 sizes[some], begin[some] = n, used + np.cumsum(n) - n
                 parts.append(ids)
                 used += len(ids)
-        return sizes, {"ids": np.concatenate(parts)[gather(begin, sizes)]}
+        store.append(sizes, ids=np.concatenate(parts)[gather(begin, sizes)])
 
-    return SegmentCache(CACHED, solve, ids=kind), kind
+    return SegmentCache(CACHED, solve, store), kind
 
 
 def encode(data: np.ndarray, offsets: np.ndarray, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
@@ -107,11 +109,12 @@ def encode(data: np.ndarray, offsets: np.ndarray, path: str, end_id: int = END_I
     cache, kind = encoder(path)
     seg = Segments(data, offsets, cut_before_words(data))
     at = cache.resolve(seg)
-    begin = cache.rows.begin[at]
-    sizes = cache.rows.begin[at + 1] - begin
+    store = cache.stores[0]
+    begin = store.begin[at]
+    sizes = store.begin[at + 1] - begin
     before = np.concatenate([[0], np.cumsum(sizes)])
     counts = np.diff(before[seg.first])
-    ids = cache.rows.columns["ids"][gather(begin, sizes)]
+    ids = store.columns["ids"][gather(begin, sizes)]
     out = np.full(len(ids) + len(counts), end_id, kind)
     mask = np.ones(len(out), bool)
     mask[np.cumsum(counts + 1) - 1] = False
