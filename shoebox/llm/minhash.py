@@ -40,11 +40,13 @@ BANDS = SLOTS // BAND_ROWS
 MOST_BITS = 30
 SHINGLE_WORDS = 5
 PERCENT = 80
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Rows of ids that a broadcast may hold (some 30 MB); beyond, the join is shuffled.
 BROADCAST_ROWS = 500_000
 #: Nodes of a bucket's block; a task compares two blocks at a time.
-BLOCK = 256
+BLOCK = 1024
+#: Columns of the bit matrix that are built at a time.
+COLUMNS = 1 << 14
 _LEVEL = 40
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 
@@ -227,9 +229,10 @@ def _differ(column: pa.Array) -> np.ndarray:
 
 
 def _hopeful(percent: int):
-    """Nodes that size and sketch allow to be linked with one of another component in their blocks."""
+    """Nodes that size and sketch allow to be linked with one of another component in their blocks, once a task."""
 
     def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[bytes] = set()
         for g in _groups(batches):
             if g.num_rows < 2:
                 continue
@@ -238,7 +241,10 @@ def _hopeful(percent: int):
             fits = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
             some = (_differ(g.column(4)) & fits & (bits <= MOST_BITS)).any(axis=1)
             if some.any():
-                yield pa.RecordBatch.from_arrays([g.column(0), g.column(3)], names=["key", "node"]).filter(pa.array(some))
+                fresh = {x for x in g.column(3).filter(pa.array(some)).to_pylist() if x not in told}
+                if fresh:
+                    told |= fresh
+                    yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.binary())], names=["node"])
 
     return hopeful
 
@@ -250,13 +256,18 @@ def common_sizes(sets: list[np.ndarray]) -> np.ndarray:
     place = np.cumsum(times > 1) - 1
     owner = np.repeat(np.arange(len(sets)), sizes)
     shared = times[code] > 1
-    words = (int((times > 1).sum()) + 63) // 64
-    bits = np.zeros((len(sets), max(1, words) * 64), bool)
-    bits[owner[shared], place[code[shared]]] = True
-    packed = np.packbits(bits, axis=1).view(np.uint64)
+    row, column = owner[shared], place[code[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
     out = np.zeros((len(sets), len(sets)), np.int64)
-    for i in range(len(sets)):
-        out[i, i:] = np.bitwise_count(packed[i] & packed[i:]).sum(axis=1)
+    total = int((times > 1).sum())
+    for lo in range(0, total, COLUMNS):
+        i, j = np.searchsorted(column, [lo, lo + COLUMNS])
+        bits = np.zeros((len(sets), 64 * -(-min(COLUMNS, total - lo) // 64)), bool)
+        bits[row[i:j], column[i:j] - lo] = True
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        for k in range(len(sets)):
+            out[k, k:] += np.bitwise_count(packed[k] & packed[k:]).sum(axis=1, dtype=np.int64)
     return np.maximum(out, out.T)
 
 
@@ -299,11 +310,11 @@ class NearDuplicates:
         buckets = self._buckets()
         links = self._verified(self._leader_pairs(buckets))
         merged = connected_components(links)
-        apart = self._blocks(self._apart(buckets, merged), ["node", "component", "n", "s1", "s2"])
-        hopeful = materialize(apart.mapInArrow(_hopeful(self.percent), "key long, node binary").distinct(), "minhash-hopeful")
-        facts = self.classes.select("node", "rep", "n").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sets = self._sets_of(hopeful.select("node").distinct().join(self.classes.select("node", "rep"), "node"))
-        rows = hopeful.join(facts.select("node", "component").join(sets, "node"), "node")
+        apart = self._apart(buckets, merged)
+        dealt = self._blocks(apart, ["node", "component", "n", "s1", "s2"])
+        hopeful = materialize(dealt.mapInArrow(_hopeful(self.percent), "node binary").distinct(), "minhash-hopeful")
+        sets = self._sets_of(hopeful.join(self.classes.select("node", "rep"), "node"))
+        rows = apart.select("key", "node", "component").join(sets, "node")
         more = self._blocks(rows, ["node", "component", "shingles"]).mapInArrow(_forest(self.percent), "u binary, v binary")
         return self._result(connected_components(links.union(more)))
 
