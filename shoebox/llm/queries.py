@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, minhash, mixing, piece_sampling, token_counts, token_files, warc
+from . import ann, exact_dedup, license_scan, minhash, mixing, piece_sampling, token_counts, token_files, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_nearest_neighbours": ann.op3_nearest_neighbours,
     "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_sentencepiece_sampling": piece_sampling.op8_sentencepiece_sampling,
