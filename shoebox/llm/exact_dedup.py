@@ -76,13 +76,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` without the dropped rows, columns unchanged; one row of each group of equal texts stays."""
     table = materialize(facts(docs, id_col, text_col, full=False), "exact-keys")
     found = groups(table, docs, id_col, text_col)
-    digest = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
-    # Texts of groups are one row each; all other rows pass by the anti join.
-    keyed = docs.withColumn("__digest", digest)
-    found = found.select(F.col("full_hash").alias("__digest"), F.col("keep_id").alias("__keep"))
-    joined = keyed.join(found, "__digest", "left")
-    stays = joined.filter(F.col("__keep").isNull() | F.col(id_col).eqNullSafe(F.col("__keep")))
-    return stays.dropDuplicates([id_col, "__digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumn("__digest", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    found = materialize(found.select(F.col("full_hash").alias("__group"), F.col("keep_id").alias("__keep")), "exact-groups")
+    # Texts of their own pass as they are; of each group, the row with the id that stays.
+    own = keyed.join(found, F.col("__digest") == F.col("__group"), "left_anti")
+    first = keyed.join(found, (F.col("__digest") == F.col("__group")) & F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["__digest"])
+    return own.unionByName(first).drop("__digest")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
