@@ -204,23 +204,27 @@ def _confirm(percent: int):
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with equal first three columns, which stand together."""
-    rest = None
+    """Rows with equal first three columns, which stand together. Only groups over several batches are copied."""
+    key, parts = None, []
+
+    def whole() -> pa.RecordBatch:
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
     for b in batches:
-        if rest is not None:
-            b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
-        if not b.num_rows:
-            continue
+        columns = [b.column(i).to_numpy() for i in range(3)]
         fresh = np.zeros(b.num_rows, bool)
-        for i in range(3):
-            c = b.column(i).to_numpy()
+        for c in columns:
             fresh[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(fresh).tolist()]
+        cuts = [0, *np.flatnonzero(fresh).tolist(), b.num_rows] if b.num_rows else []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            yield b.slice(lo, hi - lo)
-        rest = b.slice(cuts[-1])
-    if rest is not None:
-        yield rest
+            own = tuple(int(c[lo]) for c in columns)
+            if parts and own != key:
+                yield whole()
+                parts = []
+            key = own
+            parts.append(b.slice(lo, hi - lo))
+    if parts:
+        yield whole()
 
 
 def _differ(column: pa.Array) -> np.ndarray:
