@@ -30,9 +30,9 @@ from .lattice import Edges, Vocabulary, model_path, utf8_sizes, vocabulary, with
 from .segments import Rows, SegmentCache, Segments, cut_runs, gather
 from .textscan import U64, chunks, mix, text_bytes
 
-CHUNK = 1 << 22
-#: Segments cached by a worker; some 150 MB.
-CACHED = 600_000
+CHUNK = 1 << 21
+#: Segments cached by a worker; some 90 MB.
+CACHED = 300_000
 SMOOTH = 0.5
 SEED = 20240229
 BITS = 24

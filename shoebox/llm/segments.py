@@ -71,6 +71,10 @@ class HashIndex:
         self.values = np.zeros(1 << self.bits, np.int32)
         self.size = 0
 
+    def release(self) -> None:
+        """Empty, without the table's memory; ``clear`` makes it usable again."""
+        self.keys, self.values, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
+
     def _slots(self, h: np.ndarray) -> np.ndarray:
         return (h >> U64(64 - self.bits)).astype(np.int64)
 
@@ -131,26 +135,39 @@ def gather(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum()), dtype=np.int64) + np.repeat(begin - first, sizes)
 
 
+_CURRENT: list = []
+
+
 class SegmentCache:
     """Segment -> its number in ``stores``, to which ``solve(segments, which)`` appends those first seen.
 
-    Beyond ``most`` segments the cache starts anew.
+    Beyond ``most`` segments the cache starts anew. A worker keeps one cache: those of an
+    earlier step are emptied when another is used.
     """
 
     def __init__(self, most: int, solve, *stores: Rows):
         self.index, self.solve, self.stores = HashIndex(most), solve, stores
 
+    def clear(self) -> None:
+        self.index.release()
+        for rows in self.stores:
+            rows.clear()
+
     def resolve(self, seg: Segments) -> np.ndarray:
         """Number of each segment."""
+        if not _CURRENT or _CURRENT[0] is not self:
+            for other in _CURRENT:
+                other.clear()
+            _CURRENT[:] = [self]
+            self.index.clear()
         h = seg.hashes | U64(1)
         at = self.index.find(h)
         missing = np.flatnonzero(at < 0)
         if len(missing):
             fresh, first = np.unique(h[missing], return_index=True)
             if self.index.size + len(fresh) > self.index.most:
+                self.clear()
                 self.index.clear()
-                for rows in self.stores:
-                    rows.clear()
                 missing = np.arange(len(h))
                 fresh, first = np.unique(h, return_index=True)
                 if len(fresh) > self.index.most:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .segments import Rows, SegmentCache, gather
 from .textscan import ALNUM, U64, Words, chunks, mix, text_bytes
 
-SAMPLE = 2_000
+SAMPLE = 1_200
 GRAM = 4
 CODE = 3
 LEVEL = 3
@@ -51,7 +51,7 @@ CONTEXTS, LIFT = 6, 12.0
 MARKS = (0.2, 0.4)
 THRESHOLD = 0.3
 CHUNK = 1 << 21
-CACHED = 1_500_000
+CACHED = 600_000
 #: Stands in both dictionaries and before each window, so that no window is stored raw.
 LEAD = bytes(range(1, 33))
 _LEAST = 3
