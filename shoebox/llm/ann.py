@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import bounded_batches, materialize
 
 TREES = 24
 SEARCH = 1.2
@@ -243,7 +243,7 @@ def _rerank(best: int):
 def nearest(rows: DataFrame, queries: Column, k: int = 20, trees: int = TREES, search: float = SEARCH, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest found of each row that ``queries`` (a
     condition on ``vec_id``) picks, among all other rows."""
-    base = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    base = bounded_batches(rows).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     base = base.filter(F.col("vec_id").isNotNull() & sound(F.col("v")))
     length = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     result = "query_id long, rank int, vec_id long, score double"

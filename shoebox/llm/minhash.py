@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import UnionFind, connected_components
-from .store import discard, materialize, table_dir
+from .store import bounded_batches, discard, materialize, table_dir
 from .textscan import NON_SPACE, U64, Words, chunks, mix, text_bytes
 
 SLOTS = 96
@@ -301,7 +301,7 @@ class NearDuplicates:
     """The steps of one run; ``rows`` has a row per document, ``component`` a row per merged node."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT):
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        self.docs = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         self.words, self.percent = words, percent
         self.signed = materialize(self.docs.mapInArrow(_sign(words), SIGNED), "minhash-signed")
         classes = self.signed.filter("node IS NOT NULL").groupBy("node").agg(

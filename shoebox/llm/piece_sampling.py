@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .lattice import Edges, Vocabulary, model_path, utf8_sizes, vocabulary, with_mark
 from .segments import Rows, SegmentCache, Segments, cut_runs, gather
+from .store import bounded_batches
 from .textscan import U64, chunks, mix, text_bytes
 
 CHUNK = 1 << 21
@@ -184,7 +185,7 @@ def _digest(path: str, smooth: float, seed: int):
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", smooth: float = SMOOTH, seed: int = SEED) -> DataFrame:

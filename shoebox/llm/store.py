@@ -30,6 +30,18 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch between the JVM and Python. Batches of 10,000 rows, Spark's own bound, hold any number
+#: of bytes, several times over: in the JVM's buffers, on the way, and in Python.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends batches of bounded size to Python."""
+    df.sparkSession.conf.set(BATCH, BATCH_BYTES)
+    return df
+
+
 def table_dir(df: DataFrame) -> str:
     """Folder of a table that :func:`materialize` returned."""
     return df._shoebox_dir

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .segments import SPACE, Rows, SegmentCache, Segments, cut_before_words, gather
-from .store import materialize, open_read, open_write, scratch, task_tag
+from .store import bounded_batches, materialize, open_read, open_write, scratch, task_tag
 from .textscan import U64, chunks, mix, text_bytes
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -287,7 +287,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_ids(docs: DataFrame, root: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode ``docs`` and write the shards under ``root``; their manifest."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     return materialize(ordered.mapInArrow(_writer(root, path), MANIFEST), "ids-manifest")
 

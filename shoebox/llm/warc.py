@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import materialize, open_read, open_write, scratch, task_tag
+from .store import bounded_batches, materialize, open_read, open_write, scratch, task_tag
 
 FRAME_BYTES = 1 << 18
 #: A file is closed beyond this size, whatever its partition holds.
@@ -220,6 +220,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(pages: DataFrame, root: str) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as bundles under ``root``; the manifest of the files."""
+    bounded_batches(pages)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     shared = F.octet_length("payload") >= REVISIT_LEAST
