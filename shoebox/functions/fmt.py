@@ -100,3 +100,32 @@ def size_line(count: Column, before: Column, after: Column, known_before: Column
 
 def status_line(restorable: Column) -> Column:
     return F.when(restorable > 0, F.concat(F.lit("restorable "), format_count(restorable))).otherwise("not restorable")
+
+
+# Bitrate factors by profile and tier.
+FACTORS = {
+    "HDR": {"HIGH": 0.85, "BALANCED": 0.62, "COMPACT": 0.45},
+    "STANDARD": {"HIGH": 0.72, "BALANCED": 0.50, "COMPACT": 0.34},
+    "AGGRESSIVE": {"HIGH": 0.50, "BALANCED": 0.30, "COMPACT": 0.18},
+}
+
+
+def choose_bitrate(source: Column, width: Column, height: Column, fps: Column, tier: Column, profile: Column, hdr: Column, lower: Column | None = None, upper: Column | None = None) -> Column:
+    """a share of the source's rate, or of the estimate where the source's is implausible."""
+    estimate = estimate_bitrate(width, height, fps)
+    table = F.create_map(*[x for p, t in FACTORS.items() for k, v in t.items() for x in (F.lit(f"{p}/{k}"), F.lit(v))])
+    factor = F.element_at(table, F.concat_ws("/", F.when(hdr, "HDR").otherwise(profile), tier))
+    target = F.floor(F.when(source.between(100_000, 200_000_000), source).otherwise(estimate) * factor)
+    least = F.when((profile == "AGGRESSIVE") & ~hdr, F.floor(estimate * F.lit(0.20))).otherwise(0)
+    target = F.greatest(target, least)
+    if lower is not None and upper is not None:
+        target = F.when(lower.isNull() | upper.isNull(), target).otherwise(F.least(F.greatest(target, lower), upper))
+    return target.cast("int")
+
+
+def memory_estimate_png(width: Column, height: Column, depth: Column, channels: Column, size: Column, metadata: Column) -> Column:
+    """F30 (PNG): a bitmap of aligned rows, two rows, the file twice, its metadata, and a reserve."""
+    pixel = F.when(depth == 16, 8).otherwise(4)
+    row = F.floor((width * pixel + 63) / 64) * 64
+    rows = F.greatest(width * channels * F.floor(depth / 8) * 2, width * 4)
+    return (row * height + size * 2 + rows + metadata * 4 + 32 * MIB).cast("long")
