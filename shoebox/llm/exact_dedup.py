@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, sized
 
 PREFIX_CHARS = 256
 LEVELS = ("n_bytes", "prefix_hash", "full_hash")
@@ -48,19 +48,26 @@ def groups(table: DataFrame, docs: DataFrame | None = None, id_col: str = "doc_i
     """
     full = "full_hash" in table.columns
     keys = list(LEVELS if full else LEVELS[:2])
-    packed = table.groupBy(*keys).agg(F.count("*").alias("n"), F.min("doc_id").alias("keep_id"))
+    packed = _packed(table, keys)
     left = shared_only(shared_only(packed, ["n_bytes"]), ["n_bytes", "prefix_hash"])
     if not full:
         wanted = table.join(left.select(*keys), keys, "left_semi").select(F.col("doc_id").alias("__want")).distinct()
-        again = facts(docs.join(wanted, F.col(id_col).eqNullSafe(F.col("__want")), "left_semi"), id_col, text_col)
-        left = again.groupBy(*LEVELS).agg(F.count("*").alias("n"), F.min("doc_id").alias("keep_id"))
-    return left.filter("n > 1").select("full_hash", "keep_id", F.col("n").alias("group_size"))
+        again = docs.join(sized(wanted, "exact-wanted"), F.col(id_col).eqNullSafe(F.col("__want")), "left_semi")
+        left = _packed(facts(again, id_col, text_col), list(LEVELS))
+    return left.filter("n > 1").select("full_hash", "keep_id", F.col("n").alias("group_size"), "keep_rows")
+
+
+def _packed(table: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per ``keys``: n rows, the smallest id, and how many rows have it."""
+    by_id = table.groupBy(*keys, "doc_id").agg(F.count("*").alias("c"))
+    least = F.min_by(F.col("c"), F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    return by_id.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("doc_id").alias("keep_id"), least.alias("keep_rows"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Decision per document: doc_id, keep_id, group_size, kept, text_sha256."""
     table = materialize(facts(docs, id_col, text_col), "exact-facts")
-    found = groups(table)
+    found = groups(table).drop("keep_rows")
     joined = table.select("doc_id", "full_hash").join(found, "full_hash", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
@@ -77,11 +84,17 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     table = materialize(facts(docs, id_col, text_col, full=False), "exact-keys")
     found = groups(table, docs, id_col, text_col)
     keyed = docs.withColumn("__digest", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    found = materialize(found.select(F.col("full_hash").alias("__group"), F.col("keep_id").alias("__keep")), "exact-groups")
+    found = found.select(F.col("full_hash").alias("__group"), F.col("keep_id").alias("__keep"), F.col("keep_rows").alias("__rows"))
+    found = sized(found, "exact-groups")
+    joined = keyed.join(found, F.col("__digest") == F.col("__group"), "left")
     # Texts of their own pass as they are; of each group, the row with the id that stays.
-    own = keyed.join(found, F.col("__digest") == F.col("__group"), "left_anti")
-    first = keyed.join(found, (F.col("__digest") == F.col("__group")) & F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["__digest"])
-    return own.unionByName(first).drop("__digest")
+    stays = joined.filter(F.col("__group").isNull() | F.col(id_col).eqNullSafe(F.col("__keep")))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    if not found.filter("__rows > 1").limit(1).count():
+        return stays.select(*names)
+    # Rows that repeat both the id and the text: one of them stays.
+    once = stays.filter("__rows IS NULL OR __rows = 1").select(*names)
+    return once.union(stays.filter("__rows > 1").dropDuplicates(["__digest"]).select(*names))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

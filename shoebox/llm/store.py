@@ -12,6 +12,7 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
@@ -42,6 +43,45 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Rows that a broadcast may hold, where its rows are a few dozen bytes (some 40 MB); beyond, a join is shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def sized(df: DataFrame, label: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` as a written table, to be broadcast if it has at most ``most`` rows."""
+    table = materialize(df, label)
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def tidy() -> None:
+    """Give freed memory back: a worker stays for later stages, as do the others of its executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
+def lean(run):
+    """``run`` (batches to batches) that tidies up behind each batch it has read."""
+
+    def fed(batches):
+        for b in batches:
+            yield b
+            del b
+            tidy()
+
+    def tidied(batches):
+        yield from run(fed(batches))
+        tidy()
+
+    return tidied
+
+
 def table_dir(df: DataFrame) -> str:
     """Folder of a table that :func:`materialize` returned."""
     return df._shoebox_dir
