@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, materialize
+from .store import bounded_batches, lean, materialize
 
 TREES = 24
 SEARCH = 1.2
@@ -256,16 +256,18 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, trees: int = TREES, s
     sample = classes.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(max(2, min(SAMPLE, SAMPLE_NUMBERS // length.d))).select("v").toArrow()
     forest = fit(_matrix(sample.column(0).combine_chunks()), n, float(np.sqrt(most)), trees)
     index = Index(forest, n)
-    members = materialize(classes.select("id", "v").mapInArrow(index.members(), ENTRY), "ann-members")
+    members = materialize(classes.select("id", "v").mapInArrow(lean(index.members()), ENTRY), "ann-members")
     sizes = np.zeros((trees, index.leaf_count), np.int64)
     # A row per leaf, of which there are trees * 2 ** 12 at most.
     for r in members.groupBy(F.expr(f"code div {index.parts}").alias("leaf")).count().collect():
         sizes[r.leaf // index.leaf_count, r.leaf % index.leaf_count] = r["count"]
     asked = base.filter(queries).select(F.col("vec_id").alias("id"), "v")
-    # One more than asked for: the query itself is among the candidates.
+    # One more than asked for: the query itself is among the candidates. A vector is in one leaf of each
+    # tree, so trees * best entries are at least ``best`` different candidates.
     best = k + 1
-    everything = members.union(asked.mapInArrow(index.queries(sizes, search * n), ENTRY))
-    found = everything.repartition(index.tasks, "task").sortWithinPartitions("task", "kind").mapInArrow(_rerank(best), "query_id long, id long, score double")
+    wanted = max(search * n, trees * best)
+    everything = members.union(asked.mapInArrow(lean(index.queries(sizes, wanted)), ENTRY))
+    found = everything.repartition(index.tasks, "task").sortWithinPartitions("task", "kind").mapInArrow(lean(_rerank(best)), "query_id long, id long, score double")
     found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     found = found.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= best)
     # The smallest ids of vectors that occur several times, first within salted parts.
