@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import discard, materialize, table_dir
+from .store import discard, lean, materialize, table_dir
 
 ROUNDS = 60
 #: Edges that one task may finish; its forest then takes some 150 MB at most.
@@ -72,9 +72,9 @@ def connected_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> Da
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["u"]
     contract = f"u {kind}, v {kind}"
-    state = materialize(edges.filter("u <> v").mapInArrow(_contract, contract), "components")
+    state = materialize(edges.filter("u <> v").mapInArrow(lean(_contract), contract), "components")
     if state.count() <= one_task:
-        whole = materialize(state.coalesce(1).mapInArrow(_contract, contract), "components")
+        whole = materialize(state.coalesce(1).mapInArrow(lean(_contract), contract), "components")
         discard(spark, table_dir(state))
         return whole.select(F.col("u").alias("node"), F.col("v").alias("component"))
     mark = None

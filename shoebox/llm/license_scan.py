@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import bounded_batches
+from .store import bounded_batches, lean
 from .textscan import ALNUM, U64, Words, chunks, mix, text_bytes
 
 K = 3
@@ -96,7 +96,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     """(votes, rows). Votes: diagonals per row and template; rows ride along as template -1."""
     spark = docs.sparkSession
     keyed = bounded_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = keyed.mapInArrow(_scan, "row long, doc_id long, n_words long, grams array<long>")
+    scanned = keyed.mapInArrow(lean(_scan), "row long, doc_id long, n_words long, grams array<long>")
     every = scanned.select("row", "doc_id", "n_words", F.posexplode("grams").alias("pos", "gram"))
     hits = every.join(F.broadcast(templates(spark)), "gram", "left").filter("pos = 0 OR template IS NOT NULL")
     # The leading entry is the document; its own value never is a hit.

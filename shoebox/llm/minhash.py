@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import UnionFind, connected_components
-from .store import bounded_batches, discard, materialize, table_dir
+from .store import BROADCAST_ROWS, bounded_batches, discard, lean, materialize, sized, table_dir
 from .textscan import NON_SPACE, U64, Words, chunks, mix, text_bytes
 
 SLOTS = 96
@@ -41,8 +41,6 @@ MOST_BITS = 30
 SHINGLE_WORDS = 5
 PERCENT = 80
 CHUNK = 1 << 20
-#: Rows of ids that a broadcast may hold (some 30 MB); beyond, the join is shuffled.
-BROADCAST_ROWS = 500_000
 #: Nodes of a bucket's block; a task compares two blocks at a time.
 BLOCK = 1024
 #: Columns of the bit matrix that are built at a time.
@@ -303,7 +301,7 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT):
         self.docs = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         self.words, self.percent = words, percent
-        self.signed = materialize(self.docs.mapInArrow(_sign(words), SIGNED), "minhash-signed")
+        self.signed = materialize(self.docs.mapInArrow(lean(_sign(words)), SIGNED), "minhash-signed")
         classes = self.signed.filter("node IS NOT NULL").groupBy("node").agg(
             F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2")
         )
@@ -316,10 +314,10 @@ class NearDuplicates:
         merged = connected_components(links)
         apart = self._apart(buckets, merged)
         dealt = self._blocks(apart, ["node", "component", "n", "s1", "s2"])
-        hopeful = materialize(dealt.mapInArrow(_hopeful(self.percent), "node binary").distinct(), "minhash-hopeful")
+        hopeful = materialize(dealt.mapInArrow(lean(_hopeful(self.percent)), "node binary").distinct(), "minhash-hopeful")
         sets = self._sets_of(hopeful.join(self.classes.select("node", "rep"), "node"))
         rows = apart.select("key", "node", "component").join(sets, "node")
-        more = self._blocks(rows, ["node", "component", "shingles"]).mapInArrow(_forest(self.percent), "u binary, v binary")
+        more = self._blocks(rows, ["node", "component", "shingles"]).mapInArrow(lean(_forest(self.percent)), "u binary, v binary")
         return self._result(connected_components(links.union(more)))
 
     def _buckets(self) -> DataFrame:
@@ -361,7 +359,7 @@ class NearDuplicates:
         if wanted.count() <= BROADCAST_ROWS:
             ids = F.broadcast(ids)
         texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("text")
-        sets = texts.mapInArrow(_sets(self.words), "node binary, shingles binary")
+        sets = texts.mapInArrow(lean(_sets(self.words)), "node binary, shingles binary")
         return materialize(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "minhash-sets")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
@@ -375,7 +373,7 @@ class NearDuplicates:
         left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
         both = known.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "x", "y")
-        out = materialize(both.mapInArrow(_confirm(self.percent), "u binary, v binary"), "minhash-links")
+        out = materialize(both.mapInArrow(lean(_confirm(self.percent)), "u binary, v binary"), "minhash-links")
         for t in (sets, known):
             discard(t.sparkSession, table_dir(t))
         return out
@@ -397,10 +395,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_each(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the near-duplicates of a smaller id; columns unchanged."""
     gone = near_duplicates(docs, words=words, percent=percent).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = materialize(gone, "minhash-gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(sized(gone, "minhash-gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 
 from .lattice import Edges, Vocabulary, model_path, utf8_sizes, vocabulary, with_mark
 from .segments import Rows, SegmentCache, Segments, cut_runs, gather
-from .store import bounded_batches
+from .store import bounded_batches, lean
 from .textscan import U64, chunks, mix, text_bytes
 
-CHUNK = 1 << 21
-#: Segments cached by a worker; some 90 MB.
-CACHED = 300_000
+CHUNK = 1 << 20
+#: Segments cached by a worker; some 80 MB.
+CACHED = 200_000
 SMOOTH = 0.5
 SEED = 20240229
 BITS = 24
@@ -190,7 +190,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", smooth: float = SMOOTH, seed: int = SEED) -> DataFrame:
     """doc_id, n_pieces, ids of a sampled segmentation per document."""
-    return _rows(docs, id_col, text_col).mapInArrow(_encode(path, smooth, seed), ENCODED)
+    return _rows(docs, id_col, text_col).mapInArrow(lean(_encode(path, smooth, seed)), ENCODED)
 
 
 def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
@@ -205,10 +205,10 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
             text = pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data.tobytes())).cast(pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), text], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def op8_sentencepiece_sampling(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Digest of the sampled ids per document, and whether decoding them gave the text back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return _rows(docs, "doc_id", "text").mapInArrow(_digest(path or model_path(), SMOOTH, SEED), DIGEST)
+    return _rows(docs, "doc_id", "text").mapInArrow(lean(_digest(path or model_path(), SMOOTH, SEED)), DIGEST)

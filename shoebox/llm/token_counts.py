@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .lattice import Edges, Vocabulary, marks_as_spaces, model_path, utf8_sizes, vocabulary, with_mark
 from .segments import Rows, SegmentCache, Segments, cut_runs
-from .store import bounded_batches
+from .store import bounded_batches, lean
 from .textscan import chunks, text_bytes
 
 CHUNK = 1 << 22
@@ -89,7 +89,7 @@ def _count(path: str):
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and score of the best segmentation per document."""
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_count(path), "doc_id long, n_tokens long, score double")
+    return rows.mapInArrow(lean(_count(path)), "doc_id long, n_tokens long, score double")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .segments import SPACE, Rows, SegmentCache, Segments, cut_before_words, gather
-from .store import bounded_batches, materialize, open_read, open_write, scratch, task_tag
+from .store import bounded_batches, lean, materialize, open_read, open_write, scratch, task_tag
 from .textscan import U64, chunks, mix, text_bytes
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -289,14 +289,14 @@ def write_ids(docs: DataFrame, root: str, path: str, id_col: str = "doc_id", tex
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return materialize(ordered.mapInArrow(_writer(root, path), MANIFEST), "ids-manifest")
+    return materialize(ordered.mapInArrow(lean(_writer(root, path)), MANIFEST), "ids-manifest")
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
     """A row per document, from the shards of the manifest, through their index."""
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     before = F.coalesce(F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return manifest.select("path", before.alias("before")).repartition(n).mapInArrow(_reader, READ)
+    return manifest.select("path", before.alias("before")).repartition(n).mapInArrow(lean(_reader), READ)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

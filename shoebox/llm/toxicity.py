@@ -37,10 +37,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .segments import Rows, SegmentCache, gather
-from .store import bounded_batches
+from .store import bounded_batches, lean, tidy
 from .textscan import ALNUM, U64, Words, chunks, mix, text_bytes
 
-SAMPLE = 1_200
+SAMPLE = 800
 GRAM = 4
 CODE = 3
 LEVEL = 3
@@ -228,7 +228,9 @@ def sample_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # A doc_id that repeats could bring any number of rows.
     rows = sample_rows(docs, labels, sample).orderBy("__h", "__id").limit(2 * sample).collect()
-    return train([r.text for r in rows], [r.toxic for r in rows])
+    model = train([r.text for r in rows], [r.toxic for r in rows])
+    tidy()
+    return model
 
 
 def _scorer(model: Model):
@@ -244,7 +246,7 @@ def _scorer(model: Model):
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted per document."""
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = rows.mapInArrow(_scorer(model), "doc_id long, score double")
+    scored = rows.mapInArrow(lean(_scorer(model)), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -258,7 +260,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             keep = np.concatenate([probability(x, model.weights) < THRESHOLD for _, _, x in features(text, model)]) if b.num_rows else np.zeros(0, bool)
             yield b.filter(pa.array(keep))
 
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(lean(run), docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, materialize, open_read, open_write, scratch, task_tag
+from .store import bounded_batches, lean, materialize, open_read, open_write, scratch, task_tag
 
 FRAME_BYTES = 1 << 18
 #: A file is closed beyond this size, whatever its partition holds.
@@ -236,14 +236,14 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
     )
     revisit = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
     joined = rows.join(heads, "key", "left").select("page_id", "url", "payload", "digest", "head", revisit.alias("revisit"))
-    return materialize(joined.mapInArrow(_writer(root), MANIFEST), "warc-manifest")
+    return materialize(joined.mapInArrow(lean(_writer(root)), MANIFEST), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """One row per record, from the files of the manifest; frames are dealt out evenly."""
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frames = manifest.select("path").mapInArrow(_frames, FRAME)
-    return frames.repartition(n).mapInArrow(_records, RECORD)
+    frames = manifest.select("path").mapInArrow(lean(_frames), FRAME)
+    return frames.repartition(n).mapInArrow(lean(_records), RECORD)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
