@@ -18,6 +18,12 @@ from ..functions import media as M
 from .ledger import excluded_set, restorable, saved_bytes
 
 
+def single(c: Column) -> Column:
+    """A whole number rounded to single precision. Catalyst would merge a cast to float with a later one
+    to double, and lose the rounding; it can't see through ``greatest``."""
+    return F.greatest(c.cast("float"), F.lit(-3e38).cast("float"))
+
+
 def item_order() -> Column:
     """Images before videos, newest first, then by id: comparable as a struct."""
     return F.struct(F.col("is_video"), -F.col("date_added_sec"), F.col("id"))
@@ -228,7 +234,7 @@ class Library:
         )
         both = todo.crossJoin(done).withColumn("saved", F.greatest(F.col("before") - F.col("after"), F.lit(0)))
         whole = F.col("before") + F.col("todo_bytes")
-        share = (F.col("saved").cast("float") / whole.cast("float")).cast("float")
+        share = (single(F.col("saved")) / single(whole)).cast("float")
         pct = F.when(whole > 0, (share * F.lit(100).cast("float")).cast("float")).otherwise(F.lit(0).cast("float"))
         return both.withColumn("pct", pct)
 
@@ -242,7 +248,7 @@ class Library:
     def kind_shares(self) -> DataFrame:
         """Whole percents, halves up; 0 without any bytes. The window spans three rows."""
         total = F.sum("bytes").over(W.partitionBy())
-        exact = (F.col("bytes").cast("float") / total.cast("float")).cast("float") * F.lit(100).cast("float")
+        exact = (single(F.col("bytes")) / single(total)).cast("float") * F.lit(100).cast("float")
         return self.kind_bytes().withColumn("percent", F.when(total > 0, F.floor(exact.cast("double") + 0.5)).otherwise(0).cast("int"))
 
     def backups(self) -> DataFrame:

@@ -28,7 +28,7 @@ class Table:
 
     def _pointer(self) -> tuple[str, int] | None:
         """(directory, schema version) of the current version."""
-        p = self._path("_CURRENT")
+        p = self._path("CURRENT")
         if not self._fs.exists(p):
             return None
         text = self.spark.read.text(p.toString()).first().value
@@ -56,7 +56,7 @@ class Table:
         name = f"v{int(before.split('-')[0][1:]) + 1 if before else 0:08d}-{uuid.uuid4().hex[:8]}"
         keep = [c for c in df.columns if c in self.schema.names]
         df.select(*keep).write.parquet(f"{self.path}/{name}")
-        fresh, p = self._path(f"_CURRENT.{name}"), self._path("_CURRENT")
+        fresh, p = self._path(f"CURRENT.{name}"), self._path("CURRENT")
         out = self._fs.create(fresh, True)
         out.write(bytearray(f"{name} {schema_version}\n".encode()))
         out.close()
