@@ -31,9 +31,9 @@ from .segments import Rows, SegmentCache, Segments, cut_runs, gather
 from .store import bounded_batches, lean
 from .textscan import U64, chunks, mix, text_bytes
 
-CHUNK = 1 << 20
-#: Segments cached by a worker; some 80 MB.
-CACHED = 200_000
+CHUNK = 1 << 19
+#: Segments cached by a worker; some 50 MB.
+CACHED = 150_000
 SMOOTH = 0.5
 SEED = 20240229
 BITS = 24

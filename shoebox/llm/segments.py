@@ -120,10 +120,10 @@ class Rows:
         total = int(sizes.sum())
         for k, v in columns.items():
             if self.used + total > len(self.columns[k]):
-                self.columns[k] = np.concatenate([self.columns[k][: self.used], np.empty(max(total, self.used), self.kinds[k])])
+                self.columns[k] = np.concatenate([self.columns[k][: self.used], np.empty(max(total, self.used // 4), self.kinds[k])])
             self.columns[k][self.used : self.used + total] = v
         if self.count + len(sizes) + 1 > len(self.begin):
-            self.begin = np.concatenate([self.begin[: self.count + 1], np.zeros(max(len(sizes), self.count) + 1, np.int64)])
+            self.begin = np.concatenate([self.begin[: self.count + 1], np.zeros(max(len(sizes), self.count // 4) + 1, np.int64)])
         self.begin[self.count + 1 : self.count + len(sizes) + 1] = self.used + np.cumsum(sizes)
         self.count += len(sizes)
         self.used += total
