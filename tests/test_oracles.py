@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from shoebox.plans import binary_queries, registry  # noqa: F401
+from shoebox.plans import binary_queries, registry, table_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
 
 
 @pytest.fixture(scope="module")
