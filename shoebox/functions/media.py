@@ -42,16 +42,28 @@ def extension_of(name: Column) -> Column:
     return F.when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise(F.lit(""))
 
 
+def _first_rule(names: list[str], *keys: tuple[Column, dict[str, int]]) -> Column:
+    """The name with the smallest number that any key has in its table. Tables keep the expression small:
+    a chain of cases over all names outgrows what the JVM compiles in one method."""
+    table = lambda t: F.create_map(*[x for k, v in t.items() for x in (F.lit(k), F.lit(v))])
+    numbers = [F.coalesce(F.try_element_at(table(t), c), F.lit(len(names) + 1)) for c, t in keys]
+    number = F.least(*numbers) if len(numbers) > 1 else numbers[0]
+    return F.element_at(F.array(*[F.lit(n) for n in [*names, "UNKNOWN"]]), number)
+
+
 def image_format(mime: Column, name: Column) -> Column:
     """F2."""
-    ext = extension_of(name)
-    return _cases([((mime.isin(*m) | ext.isin(*e)) if m else ext.isin(*e), F.lit(f)) for f, m, e in IMAGE_RULES], F.lit("UNKNOWN"))
+    numbered = list(enumerate(IMAGE_RULES, 1))
+    by_mime, by_ext = ({x: i for i, rule in numbered for x in rule[k]} for k in (1, 2))
+    return _first_rule([r[0] for r in IMAGE_RULES], (mime, by_mime), (extension_of(name), by_ext))
 
 
 def video_format(mime: Column, name: Column) -> Column:
     """extensions first."""
-    ext = extension_of(name)
-    return _cases([(ext.isin(*e), F.lit(f)) for f, e in VIDEO_EXTENSIONS] + [(mime == m, F.lit(f)) for f, m in VIDEO_MIMES], F.lit("UNKNOWN"))
+    names = [f for f, _ in VIDEO_EXTENSIONS] + [f for f, _ in VIDEO_MIMES]
+    by_ext = {x: i for i, (_, e) in enumerate(VIDEO_EXTENSIONS, 1) for x in e}
+    by_mime = {m: i for i, (_, m) in enumerate(VIDEO_MIMES, len(VIDEO_EXTENSIONS) + 1)}
+    return _first_rule(names, (extension_of(name), by_ext), (mime, by_mime))
 
 
 def image_reason(fmt: Column) -> Column:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,15 +14,9 @@ from ..streaming import refresh
 from .registry import MEDIA_COLUMNS, query
 
 
-def workspace(d: Driver) -> str:
-    """A new folder in the cluster's shared one; where none is set, in this machine's."""
-    root = d.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shoebox-")
-    return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
-
-
 @query("k1_replace_all", f"SELECT {MEDIA_COLUMNS} FROM media")
 def _(d: Driver) -> DataFrame:
-    table = Table(d.spark, workspace(d), schemas.MEDIA)
+    table = Table(d.spark, d.workspace(), schemas.MEDIA)
     table.write(d.cache())
     table.write(d.media())
     return table.read()
@@ -33,7 +24,7 @@ def _(d: Driver) -> DataFrame:
 
 @query("st1_stream_refresh", "SELECT status, count(*) AS n, 2 AS version FROM ledger GROUP BY status")
 def _(d: Driver) -> DataFrame:
-    at, rows = workspace(d), d.ledger()
+    at, rows = d.workspace(), d.ledger()
     view = Table(d.spark, f"{at}/view", "status string, n long, version long")
     for version, part in ((1, rows.filter("media_store_id % 2 = 0")), (2, rows)):
         part.withColumn("version", F.lit(version).cast("long")).select("version", *rows.columns).write.mode("append").parquet(f"{at}/in")
@@ -46,7 +37,7 @@ def _(d: Driver) -> DataFrame:
     f"SELECT id, CASE WHEN late THEN 'PURGED' ELSE status END AS status, CASE WHEN NOT late THEN backup_rel_path END AS backup_rel_path FROM (SELECT *, status = 'DONE' AND backup_rel_path IS NOT NULL AND restore_deadline_ms < {NOW_MS} AS late FROM ledger)",
 )
 def _(d: Driver) -> DataFrame:
-    table = Table(d.spark, workspace(d), schemas.LEDGER, "ledger")
+    table = Table(d.spark, d.workspace(), schemas.LEDGER, "ledger")
     table.write(d.ledger())
     refresh.expire(table, NOW_MS)
     return table.read().select("id", "status", "backup_rel_path")
@@ -54,7 +45,7 @@ def _(d: Driver) -> DataFrame:
 
 @query("st4_scan_mark", "SELECT 1 AS id, 77 AS last_scan_sec, 4 AS cache_logic_version, true AS compress_png")
 def _(d: Driver) -> DataFrame:
-    table = Table(d.spark, workspace(d), schemas.SETTINGS, "settings")
+    table = Table(d.spark, d.workspace(), schemas.SETTINGS, "settings")
     table.write(L.insert_if_missing(table.read(), d.settings()))
     refresh.ScanMark(table).run(lambda: None, 77)
     return table.read().select("id", "last_scan_sec", "cache_logic_version", "compress_png")

@@ -7,6 +7,9 @@ with the relations is not shared.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
@@ -127,7 +130,18 @@ class Driver:
         row = schemas.FRESH_SETTINGS | {"excluded_albums": EXCLUDED} | changes
         return self.spark.createDataFrame([row], schemas.SETTINGS)
 
+    def workspace(self) -> str:
+        """A new folder in the cluster's shared one; where none is set, in this machine's."""
+        root = self.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shoebox-")
+        return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
+
     def library(self, **settings):
+        """Views over stored tables: each derived relation is written once and read as often as the views need."""
         from ..operators.views import Library
 
-        return Library(self.media(), self.ledger(), self.journal(), self.settings(**settings))
+        at, stored = self.workspace(), []
+        for name in ("media", "ledger", "journal"):
+            df = getattr(self, name)()
+            df.write.parquet(f"{at}/{name}")
+            stored.append(self.spark.read.schema(df.schema).parquet(f"{at}/{name}"))
+        return Library(*stored, self.settings(**settings))
