@@ -48,7 +48,11 @@ BROADCAST_ROWS = 200_000
 
 
 def sized(df: DataFrame, label: str, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` as a written table, to be broadcast if it has at most ``most`` rows."""
+    """``df`` as a written table, to be broadcast if it has at most ``most`` rows.
+
+    Beyond that the join is a shuffle of two plain exchanges, whose large partitions adaptive
+    execution can split; an aggregate between the exchange and the join would forbid it.
+    """
     table = materialize(df, label)
     return F.broadcast(table) if table.count() <= most else table
 

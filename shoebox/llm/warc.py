@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, lean, materialize, open_read, open_write, scratch, task_tag
+from .store import bounded_batches, lean, materialize, open_read, open_write, scratch, sized, task_tag
 
 FRAME_BYTES = 1 << 18
 #: A file is closed beyond this size, whatever its partition holds.
@@ -234,6 +234,7 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
         .filter("n > 1 AND head IS NOT NULL")
         .drop("n")
     )
+    heads = sized(heads, "warc-heads")
     revisit = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
     joined = rows.join(heads, "key", "left").select("page_id", "url", "payload", "digest", "head", revisit.alias("revisit"))
     return materialize(joined.mapInArrow(lean(_writer(root)), MANIFEST), "warc-manifest")
