@@ -67,7 +67,7 @@ def _packed(table: DataFrame, keys: list[str]) -> DataFrame:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Decision per document: doc_id, keep_id, group_size, kept, text_sha256."""
     table = materialize(facts(docs, id_col, text_col), "exact-facts")
-    found = groups(table).drop("keep_rows")
+    found = sized(groups(table).drop("keep_rows"), "exact-groups")
     joined = table.select("doc_id", "full_hash").join(found, "full_hash", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
