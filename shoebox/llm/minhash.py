@@ -324,25 +324,26 @@ class NearDuplicates:
         """(key, node) of the buckets with at least two nodes."""
         rows = self.classes.select(F.explode("bands").alias("key"), "node")
         many = rows.groupBy("key").count().filter("count > 1").select("key")
-        return materialize(rows.join(many, "key", "left_semi"), "minhash-buckets")
+        return materialize(rows.join(sized(many, "minhash-keys"), "key", "left_semi"), "minhash-buckets")
 
     def _leader_pairs(self, buckets: DataFrame) -> DataFrame:
         """Each node with its bucket's leader."""
-        leaders = buckets.groupBy("key").agg(F.min("node").alias("lead"))
+        leaders = sized(buckets.groupBy("key").agg(F.min("node").alias("lead")), "minhash-leaders")
         return buckets.join(leaders, "key").filter("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
 
     def _apart(self, buckets: DataFrame, merged: DataFrame) -> DataFrame:
         """(key, node, component, n, s1, s2) of the buckets that hold nodes of several components."""
         facts = self.classes.select("node", "n", "s1", "s2").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rows = buckets.join(facts, "node")
+        rows = materialize(buckets.join(facts, "node"), "minhash-rows")
         several = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-        return materialize(rows.join(several, "key", "left_semi"), "minhash-apart")
+        return rows.join(sized(several, "minhash-several"), "key", "left_semi")
 
     def _blocks(self, rows: DataFrame, columns: list[str]) -> DataFrame:
         """The rows of each bucket dealt into pairs of blocks, which stand together and in order."""
         n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        dealt = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+        dealt = rows.join(sized(sizes, "minhash-sizes"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), *columns)
         return dealt.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b")
@@ -380,8 +381,8 @@ class NearDuplicates:
 
     def _result(self, merged: DataFrame) -> DataFrame:
         named = self.classes.join(merged, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-        least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
-        by_node = named.join(least, "component").filter("n > 1 OR component_id IS NOT NULL").select("node", "component_id")
+        least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+        by_node = materialize(named.join(least, "component").select("node", "component_id"), "minhash-named")
         rows = self.signed.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
         component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
         return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
