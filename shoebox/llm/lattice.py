@@ -59,6 +59,12 @@ class Vocabulary:
         self.log_p_unknown = float(self.log_p[order].min()) - UNKNOWN_PENALTY
         inverse = {int(i): b for b, i in enumerate(self.byte_ids)}
         raw = [bytes([inverse[i]]) if i in inverse else x.replace(MARK, " ").encode() if ok else b"" for i, (x, ok) in enumerate(zip(self.pieces, self.normal, strict=True))]
+        #: Bytes that stand side by side in some piece, marks as spaces.
+        self.pairs = np.zeros((256, 256), bool)
+        for x, ok in zip(raw, self.normal, strict=True):
+            if ok:
+                b = np.frombuffer(x, np.uint8)
+                self.pairs[b[:-1], b[1:]] = True
         self.blob = np.frombuffer(b"".join(raw), np.uint8)
         self.blob_begin = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
 

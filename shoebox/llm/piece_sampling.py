@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lattice import Edges, Vocabulary, model_path, utf8_sizes, vocabulary, with_mark
-from .segments import Rows, SegmentCache, Segments, cut_runs, gather
+from .segments import Rows, SegmentCache, Segments, cut_pairs, gather
 from .store import bounded_batches, lean
 from .textscan import U64, chunks, mix, text_bytes
 
@@ -81,7 +81,7 @@ def sampler(path: str, smooth: float) -> SegmentCache:
 def sample(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, path: str, smooth: float = SMOOTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ids per document) of texts that begin with their mark, see ``with_mark``."""
     v, cache = vocabulary(path), sampler(path, smooth)
-    seg = Segments(data, offsets, cut_runs(data))
+    seg = Segments(data, offsets, cut_pairs(data, v.pairs))
     at = cache.resolve(seg)
     store, ends = cache.stores
     share, pieces, edge = store.columns["share"], store.columns["piece"], ends.columns["edge"]

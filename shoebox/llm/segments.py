@@ -47,14 +47,12 @@ def cut_before_words(data: np.ndarray) -> np.ndarray:
     return cut[:-1]
 
 
-def cut_runs(data: np.ndarray) -> np.ndarray:
-    """Before a run of spaces, and before and behind each newline. No piece of the
-    vocabulary spans such a place."""
+def cut_pairs(data: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Between two bytes that stand side by side in no piece of a vocabulary (``pairs`` [256, 256]), except
+    within a character. No piece spans such a place."""
     cut = np.zeros(len(data), bool)
     if len(data):
-        space, line = data == SPACE, data == NEWLINE
-        cut[1:] = (space[1:] & ~space[:-1]) | line[:-1]
-        cut |= line
+        cut[1:] = ~pairs[data[:-1], data[1:]] & (data[1:] & 0xC0 != 0x80)
     return cut
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lattice import Edges, Vocabulary, marks_as_spaces, model_path, utf8_sizes, vocabulary, with_mark
-from .segments import Rows, SegmentCache, Segments, cut_runs
+from .segments import Rows, SegmentCache, Segments, cut_pairs
 from .store import bounded_batches, lean
 from .textscan import chunks, text_bytes
 
@@ -64,12 +64,12 @@ def counter(path: str) -> SegmentCache:
 
 def count_tokens(column: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from row, to row, pieces, score) of chunks of a string column."""
-    cache = counter(path)
+    cache, pairs = counter(path), vocabulary(path).pairs
     data, offsets = text_bytes(marks_as_spaces(column))
     for lo, hi in chunks(offsets, CHUNK):
         part = offsets[lo : hi + 1]
         text, begin = with_mark(data[part[0] : part[-1]], part - part[0])
-        seg = Segments(text, begin, cut_runs(text))
+        seg = Segments(text, begin, cut_pairs(text, pairs))
         at = cache.resolve(seg)
         columns = cache.stores[0].columns
         count = np.concatenate([[0], np.cumsum(columns["count"][at])])
