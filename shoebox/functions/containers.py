@@ -6,6 +6,7 @@ A malformed container is a null or a reason code, never an error.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -462,3 +463,35 @@ def entries_column(c: Column) -> Column:
         return entries and [dict(zip(("attributes", "size", "offset", "dep1", "dep2"), e, strict=True)) for e in entries]
 
     return column(parse, ENTRIES)(c)
+
+
+def mpf_rebuild(original: bytes, encoded: bytes, xmp: str) -> bytes | None:
+    """The encoded primary image in the original's metadata, with the other images behind it.
+
+    Lengths in the XMP and offsets in the MPF depend on the header's size, which their digits may
+    change; it settles within a few rounds. The result must read back as planned.
+    """
+    plan = mpf_plan(original)
+    found = first_segment(original, "MPF")
+    if plan is None or found is None:
+        return None
+    end, others = plan
+    keeps_length = re.search(r'<Container:Item\b[^>]*Item:Semantic="Primary"[^>]*>', xmp)
+    keeps_length = keeps_length and re.search(r'Item:Length="[1-9]\d*"', keeps_length[0])
+    primary = rebuild(encoded, original, xmp)
+    for _ in range(6):
+        text = xmp
+        if keeps_length:
+            text = re.sub(r'<Container:Item\b[^>]*Item:Semantic="Primary"[^>]*>', lambda m: re.sub(r'Item:Length="\d*"', f'Item:Length="{len(primary)}"', m[0]), xmp, count=1)
+        at = first_segment(primary, "MPF")
+        starts = [0] + [s + len(primary) - end for s, _ in others]
+        patched = at and mpf_update(found[1], [len(primary)] + [n for _, n in others], starts, at[0])
+        if not patched:
+            return None
+        after = rebuild(encoded, original, text, patched)
+        if len(after) == len(primary):
+            out = after + original[end:]
+            again = mpf_plan(out)
+            return out if again == (len(after), [(s, n) for s, (_, n) in zip(starts[1:], others, strict=True)]) else None
+        primary = after
+    return None

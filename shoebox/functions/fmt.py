@@ -129,3 +129,21 @@ def memory_estimate_png(width: Column, height: Column, depth: Column, channels:
     row = F.floor((width * pixel + 63) / 64) * 64
     rows = F.greatest(width * channels * F.floor(depth / 8) * 2, width * 4)
     return (row * height + size * 2 + rows + metadata * 4 + 32 * MIB).cast("long")
+
+
+def codec_text(fmt: Column, number: Column, depth: Column | None = None, kept: Column | None = None) -> Column:
+    """what an item was encoded with, and what of it was kept."""
+    deep = F.when(depth == 16, F.lit("from 16 bit")) if depth is not None else F.lit(None).cast("string")
+    parts = F.concat_ws(", ", F.concat(F.lit("q"), number.cast("string")), deep, kept if kept is not None else F.lit(None).cast("string"))
+    return F.concat(fmt, F.lit(" "), parts)
+
+
+def outcome_text(done: Column, skipped: Column, failed: Column, saved: Column, reasons: Column) -> Column:
+    """one line for a batch; parts that are 0 are left out."""
+    part = lambda n, name: F.when(n > 0, F.concat(format_count(n), F.lit(name)))
+    return F.concat_ws(", ", part(done, " done"), F.when(saved > 0, F.concat(F.lit("saved "), format_compact_size(saved))), part(skipped, " skipped"), part(failed, " failed"), F.when(F.size(reasons) > 0, F.array_join(reasons, "; ")))
+
+
+def progress(done: Column, total: Column) -> Column:
+    """0 where the total is unknown."""
+    return F.when(total > 0, (done / total).cast("float")).otherwise(F.lit(0).cast("float"))

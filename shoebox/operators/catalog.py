@@ -120,3 +120,17 @@ def incremental_scan(cached: DataFrame, raw: DataFrame, can_preserve_hdr: bool =
 def full_scan(raw: DataFrame, can_preserve_hdr: bool = False) -> DataFrame:
     """S6."""
     return to_media(raw, can_preserve_hdr)
+
+
+def exactly_one(rows: DataFrame, what: str) -> DataFrame:
+    """The single row of ``rows``; none or several are an error when the result is used."""
+    n = rows.limit(2).agg(F.count("*").alias("n"), F.first(F.struct(*rows.columns)).alias("row"))
+    checked = n.withColumn("ok", F.when(F.col("n") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{what}: "), F.col("n").cast("string"), F.lit(" rows or more"))).cast("boolean")))
+    return checked.filter("ok").select("row.*")
+
+
+def at_most_one(rows: DataFrame, what: str) -> DataFrame:
+    """No row or one; several are an error."""
+    n = rows.limit(2).agg(F.count("*").alias("n"), F.first(F.struct(*rows.columns)).alias("row"))
+    checked = n.withColumn("ok", F.when(F.col("n") <= 1, F.col("n") == 1).otherwise(F.raise_error(F.lit(f"{what}: several rows")).cast("boolean")))
+    return checked.filter("ok").select("row.*")

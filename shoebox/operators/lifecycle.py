@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
+from . import ledger as L
+
 
 def started(attempts: DataFrame, stop_on: Column) -> DataFrame:
     """Attempts up to and with the first that stops the batch."""
@@ -130,3 +133,41 @@ def publish(ledger: DataFrame, attempts: DataFrame) -> DataFrame:
 def restored(ledger: DataFrame, attempts: DataFrame) -> DataFrame:
     """Restored rows leave the ledger."""
     return ledger.join(attempts.filter("outcome = 'RESTORED'").select("id"), "id", "left_anti")
+
+
+def ledger_rows(attempts: DataFrame, media: DataFrame, now_ms: int, tier: str = "BALANCED") -> DataFrame:
+    """Ledger rows of attempts (key, outcome, new_size, sha, ledger_id, codec) that ended DONE or SKIPPED.
+
+    A skipped item keeps its size, has no backup, and an id made from what identifies it.
+    """
+    rows = attempts.filter(F.col("outcome").isin("DONE", "SKIPPED")).join(media, "key")
+    skipped = F.col("outcome") == "SKIPPED"
+    none = F.lit(None).cast("string")
+    backup = F.concat_ws("/", F.col("ledger_id"), F.col("display_name"))
+    return rows.select(
+        F.when(skipped, L.skip_id(F.col("volume_name"), F.col("id"), F.col("data_path"))).otherwise(F.col("ledger_id")).alias("id"),
+        F.col("id").alias("media_store_id"),
+        "data_path",
+        F.col("data_path").alias("original_path"),
+        "volume_name",
+        "bucket_name",
+        "display_name",
+        F.col("kind").alias("media_kind"),
+        "mime_type",
+        F.col("format").alias("container_format"),
+        "video_codec",
+        F.col("size").alias("original_size"),
+        F.when(skipped, F.col("size")).otherwise(F.col("new_size")).alias("compressed_size"),
+        F.when(skipped, "").otherwise(F.col("sha")).alias("original_sha256"),
+        F.col("date_taken_ms").alias("original_date_taken_ms"),
+        F.col("date_added_sec").alias("original_date_added_sec"),
+        F.col("date_modified_sec").alias("original_date_modified_sec"),
+        F.lit(tier).alias("quality_tier"),
+        F.when(~skipped, F.col("codec")).alias("codec_used"),
+        F.lit(now_ms).cast("long").alias("compressed_at_ms"),
+        F.when(skipped, F.lit(0)).otherwise(F.lit(now_ms + schemas.RETENTION_MS)).cast("long").alias("restore_deadline_ms"),
+        F.when(skipped, none).otherwise(backup).alias("backup_rel_path"),
+        F.when(skipped, F.lit(0)).otherwise(F.col("size")).cast("long").alias("backup_size"),
+        F.col("outcome").alias("status"),
+        none.alias("failure_reason"),
+    )

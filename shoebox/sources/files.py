@@ -33,3 +33,11 @@ def tail(content: Column) -> Column:
 def with_digest(files: DataFrame) -> DataFrame:
     """K17, F27."""
     return files.withColumn("sha", F.sha2("content", 256))
+
+
+def safe_path(root: str, relative: str) -> str:
+    """A path strictly below ``root``, by name; anything that climbs out is an error."""
+    parts = relative.split("/")
+    if not relative or relative.startswith("/") or any(p in ("", ".", "..") for p in parts):
+        raise ValueError(f"{relative!r} isn't below the root")
+    return f"{root.rstrip('/')}/{relative}"
