@@ -13,7 +13,8 @@ DEFAULT_ALBUM = "UNNAMED"
 
 def visible(raw: DataFrame) -> DataFrame:
     """Neither trashed nor without a path."""
-    return raw.filter(~F.coalesce(F.col("is_trashed"), F.lit(False)) & F.col("data_path").isNotNull() & ~M.is_blank(F.col("data_path")))
+    kept = F.col("is_trashed").isNull() | ~F.col("is_trashed")  # in a form that the scan can take over
+    return raw.filter(kept & F.col("data_path").isNotNull() & ~M.is_blank(F.col("data_path")))
 
 
 def newest_first(df: DataFrame) -> DataFrame:
