@@ -189,7 +189,7 @@ query("a14_a15_restorable_counts", f"SELECT count(*) FILTER (status = 'DONE' AND
 query("o3_covers", "SELECT bucket_name, row_number() OVER (PARTITION BY bucket_name ORDER BY is_video, date_added_sec DESC, id) AS rank, id FROM available QUALIFY rank <= 4")(lambda d: d.library().covers())
 query("p14_expired_filter", "SELECT id FROM done WHERE NOT restorable AND NOT skipped")(lambda d: selection.done_filter(d.library().done, "expired").select("id"))
 query("p13_todo_filters", "SELECT 'skip' AS f, count(*) AS n FROM todo WHERE skip_reason IS NOT NULL UNION ALL SELECT 'photo', count(*) FROM todo WHERE skip_reason IS NULL AND kind = 'PHOTO' UNION ALL SELECT 'live', count(*) FROM todo WHERE skip_reason IS NULL AND kind = 'LIVE_PHOTO' UNION ALL SELECT 'video', count(*) FROM todo WHERE skip_reason IS NULL AND kind = 'VIDEO' UNION ALL SELECT 'all', count(*) FROM todo")(
-    lambda d: _stack([selection.todo_filter((t := d.library().todo), f).agg(F.count("*").alias("n")).select(F.lit(f).alias("f"), "n") for f in ("skip", "photo", "live", "video", "all")])
+    lambda d: _filter_counts(d.library().todo)
 )
 query("p24_todo_badges", "SELECT CASE WHEN starts_with(skip_reason, 'DATES') THEN 'DATES' WHEN skip_reason = 'RECOVERY_PENDING' THEN 'FAILED' WHEN skip_reason IS NOT NULL THEN 'UNSUPPORTED' WHEN kind = 'LIVE_PHOTO' THEN 'LIVE' WHEN kind = 'VIDEO' THEN 'VIDEO' ELSE 'NONE' END AS badge, count(*) AS n FROM todo GROUP BY 1")(
     lambda d: d.library().todo.groupBy(_todo_badge().alias("badge")).agg(F.count("*").alias("n"))
@@ -281,6 +281,10 @@ def _stack(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _filter_counts(todo: DataFrame) -> DataFrame:
+    return _stack([selection.todo_filter(todo, f).agg(F.count("*").alias("n")).select(F.lit(f).alias("f"), "n") for f in ("skip", "photo", "live", "video", "all")])
+
+
 def _names(d: Driver, *names: str) -> DataFrame:
     return d.spark.createDataFrame([(n,) for n in names], "bucket_name string")
 
