@@ -51,7 +51,7 @@ def groups(table: DataFrame, docs: DataFrame | None = None, id_col: str = "doc_i
     packed = _packed(table, keys)
     left = shared_only(shared_only(packed, ["n_bytes"]), ["n_bytes", "prefix_hash"])
     if not full:
-        wanted = table.join(left.select(*keys), keys, "left_semi").select(F.col("doc_id").alias("__want")).distinct()
+        wanted = table.join(sized(left.select(*keys), "exact-survivors"), keys, "left_semi").select(F.col("doc_id").alias("__want")).distinct()
         again = docs.join(sized(wanted, "exact-wanted"), F.col(id_col).eqNullSafe(F.col("__want")), "left_semi")
         left = _packed(facts(again, id_col, text_col), list(LEVELS))
     return left.filter("n > 1").select("full_hash", "keep_id", F.col("n").alias("group_size"), "keep_rows")
