@@ -32,8 +32,8 @@ from .store import bounded_batches, lean
 from .textscan import U64, chunks, mix, text_bytes
 
 CHUNK = 1 << 19
-#: Segments cached by a worker; some 50 MB.
-CACHED = 150_000
+#: Segments cached by a worker; some 35 MB.
+CACHED = 100_000
 SMOOTH = 0.5
 SEED = 20240229
 BITS = 24

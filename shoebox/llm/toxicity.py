@@ -52,7 +52,7 @@ CONTEXTS, LIFT = 6, 12.0
 MARKS = (0.2, 0.4)
 THRESHOLD = 0.3
 CHUNK = 1 << 21
-CACHED = 600_000
+CACHED = 250_000
 #: Stands in both dictionaries and before each window, so that no window is stored raw.
 LEAD = bytes(range(1, 33))
 _LEAST = 3
