@@ -5,9 +5,12 @@ window is a word between its borders; how many bytes fewer it takes with the tox
 dictionary than with the ordinary one, as a share of its length, is its gain.
 A match costs Zstandard about three bytes, too many for a word of eight: windows are
 therefore widened, each of their 4-grams standing as a 3-byte code, so a match saves
-in proportion to the characters that agree. A document's gains (the largest, and how
-many pass fixed marks) are calibrated to a probability on rows that the dictionaries
-haven't seen.
+in proportion to the characters that agree. In a second view of the words, with its own
+two dictionaries, the first ``ANCHOR`` codes stand for all of the word up to there: a toxic
+stem may consist of parts that are ordinary elsewhere in words. A document's gains (the
+largest, how many pass fixed marks, and how many of a hundred words do, as an ordinary
+document may hold such a word by chance) are calibrated to a probability on rows that the
+dictionaries haven't seen.
 
 Toxic documents are mostly ordinary text, so the toxic dictionary is trained on the
 words whose 4-grams are frequent in toxic documents, by distinct preceding word (copies
@@ -43,12 +46,14 @@ from .textscan import ALNUM, U64, Words, chunks, mix, text_bytes
 SAMPLE = 800
 GRAM = 4
 CODE = 3
+#: 4-grams from a word's begin that also stand for what is before them in the word.
+ANCHOR = 8
 LEVEL = 3
 ORDINARY_DICTIONARY, TOXIC_DICTIONARY = 1 << 16, 1 << 13
 #: Windows given to a dictionary's training.
 WINDOWS = 60_000
-#: A toxic 4-gram stands behind so many different words at least, and is so many times as frequent as in ordinary text.
-CONTEXTS, LIFT = 6, 12.0
+#: A toxic 4-gram stands behind so many different words at least, and is so many times (by view) as frequent as in ordinary text.
+CONTEXTS, LIFT = 6, (12.0, 8.0)
 MARKS = (0.2, 0.4)
 THRESHOLD = 0.3
 CHUNK = 1 << 21
@@ -56,6 +61,9 @@ CACHED = 250_000
 #: Stands in both dictionaries and before each window, so that no window is stored raw.
 LEAD = bytes(range(1, 33))
 _LEAST = 3
+#: Codings of a word, and numbers that describe a document.
+VIEWS = 2
+FEATURES = VIEWS * (1 + 2 * len(MARKS)) + 1
 
 
 def held_out(doc_id: Column) -> Column:
@@ -78,23 +86,31 @@ class Coded:
         self.grams = mix(acc)
         self.counts = np.maximum(size + 2 - GRAM + 1, 0)
 
-    def codes(self) -> bytes:
-        return self.grams.view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes()
+        # The first 4-grams stand for all of the word up to their end.
+        self.anchored = self.grams.copy()
+        for i in range(1, ANCHOR):
+            at = self.begin[self.counts > i] + i
+            self.anchored[at] = mix(self.anchored[at - 1] * U64(0x9E3779B97F4A7C15) + self.grams[at])
+
+    def codes(self, view: int) -> bytes:
+        return (self.grams, self.anchored)[view].view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes()
 
 
 @dataclass(frozen=True)
 class Model:
-    toxic: bytes
-    ordinary: bytes
+    """Dictionaries by view: codes of 4-grams wherever they stand in a word, and of its first parts."""
+
+    toxic: tuple[bytes, ...]
+    ordinary: tuple[bytes, ...]
     weights: tuple[float, ...]
 
 
-def _compressors(model: Model) -> tuple:
+def _compressors(toxic: bytes, ordinary: bytes) -> tuple:
     params = zstandard.ZstdCompressionParameters.from_level(
-        LEVEL, source_size=64, dict_size=len(model.ordinary), format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False
+        LEVEL, source_size=64, dict_size=len(ordinary), format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False
     )
     out = []
-    for raw in (model.toxic, model.ordinary):
+    for raw in (toxic, ordinary):
         d = zstandard.ZstdCompressionDict(raw)
         d.precompute_compress(compression_params=params)
         out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress)
@@ -104,18 +120,21 @@ def _compressors(model: Model) -> tuple:
 @lru_cache(maxsize=2)
 def gains(model: Model) -> SegmentCache:
     """Gain by word, of windows compressed once for each worker."""
-    toxic, ordinary = _compressors(model)
-    store = Rows(gain=np.float32)
+    pairs = [_compressors(*p) for p in zip(model.toxic, model.ordinary, strict=True)]
+    store = Rows(**{f"gain{v}": np.float32 for v in range(VIEWS)})
 
     def solve(words: Words, which: np.ndarray) -> None:
         coded = Coded(words, which)
-        raw = coded.codes()
-        out = np.full(len(which), -1.0, np.float32)
-        for i in np.flatnonzero(coded.counts >= _LEAST).tolist():
-            lo, n = int(coded.begin[i]) * CODE, int(coded.counts[i]) * CODE
-            window = LEAD + raw[lo : lo + n]
-            out[i] = (len(ordinary(window)) - len(toxic(window))) / n
-        store.append(np.ones(len(which), np.int64), gain=out)
+        out = {}
+        for v, (toxic, ordinary) in enumerate(pairs):
+            raw = coded.codes(v)
+            gain = np.full(len(which), -1.0, np.float32)
+            for i in np.flatnonzero(coded.counts >= _LEAST).tolist():
+                lo, n = int(coded.begin[i]) * CODE, int(coded.counts[i]) * CODE
+                window = LEAD + raw[lo : lo + n]
+                gain[i] = (len(ordinary(window)) - len(toxic(window))) / n
+            out[f"gain{v}"] = gain
+        store.append(np.ones(len(which), np.int64), **out)
 
     return SegmentCache(CACHED, solve, store)
 
@@ -128,14 +147,19 @@ def features(column: pa.Array, model: Model) -> Iterator[tuple[int, int, np.ndar
         part = offsets[lo : hi + 1]
         words = Words(data[part[0] : part[-1]], part - part[0], ALNUM)
         at = cache.resolve(words)
-        g = cache.stores[0].columns["gain"][at]
-        out = np.zeros((hi - lo, 2 + len(MARKS)))
+        out = np.zeros((hi - lo, FEATURES))
         some = np.flatnonzero(words.counts)
         if len(some):
-            first = words.first[:-1][some]
-            out[some, 0] = np.maximum(np.maximum.reduceat(g, first), 0)
-            for k, mark in enumerate(MARKS):
-                out[some, 1 + k] = np.log1p(np.add.reduceat((g > mark).astype(np.int64), first))
+            first, total = words.first[:-1][some], words.counts[some]
+            for v in range(VIEWS):
+                g = cache.stores[0].columns[f"gain{v}"][at]
+                col = v * (1 + 2 * len(MARKS))
+                out[some, col] = np.maximum(np.maximum.reduceat(g, first), 0)
+                for mark in MARKS:
+                    passed = np.add.reduceat((g > mark).astype(np.int64), first)
+                    # How many, and how many of a hundred.
+                    out[some, col + 1], out[some, col + 2] = np.log1p(passed), np.log1p(100 * passed / total)
+                    col += 2
         out[:, -1] = np.log1p(words.counts) / 10
         yield lo, hi, out
 
@@ -169,49 +193,53 @@ def _dictionary(size: int, samples: list[bytes]) -> bytes:
     return raw + LEAD
 
 
-def _windows(coded: Coded, which: np.ndarray) -> list[bytes]:
-    raw = coded.codes()
+def _windows(coded: Coded, which: np.ndarray, view: int) -> list[bytes]:
+    raw = coded.codes(view)
     return [raw[int(b) * CODE : (int(b) + int(n)) * CODE] for b, n in zip(coded.begin[which], coded.counts[which], strict=True)]
 
 
-def train(texts: list[str], toxic: list[int]) -> Model:
-    """Fit dictionaries on two thirds of the rows, and the calibration on the others."""
-    y = np.array(toxic, np.int64)
-    if len(y) == 0 or y.min() == y.max():
-        return Model(LEAD, LEAD, (30.0 if len(y) and y[0] else -30.0, *[0.0] * (2 + len(MARKS))))
-    learn = np.arange(len(y)) % 3 != 2
-    if len(set(y[learn])) < 2 or len(set(y[~learn])) < 2:
-        learn[:] = True
-    rest = ~learn if not learn.all() else learn
-    column = pc.utf8_lower(pa.array(texts, pa.string()))
-    parts = {}
-    for kind in (0, 1):
-        words = Words(*text_bytes(column.filter(pa.array(learn & (y == kind)))), ALNUM)
-        coded = Coded(words)
-        use = coded.counts >= _LEAST
-        owner = np.repeat(np.arange(len(use)), coded.counts)
-        grams = coded.grams[gather(coded.begin, coded.counts)]
+def _fit_view(view: int, parts: list[Words], coded: list[Coded]) -> tuple[bytes, bytes]:
+    """Toxic and ordinary dictionary of a view, from the words of ordinary and toxic texts."""
+    found = []
+    for words, c in zip(parts, coded, strict=True):
+        owner = np.repeat(np.arange(len(c.counts)), c.counts)
+        grams = (c.grams, c.anchored)[view][gather(c.begin, c.counts)]
         before = np.concatenate([[U64(0)], words.hashes[:-1]]) if len(words.hashes) else words.hashes
         # Each 4-gram counts once for each preceding word.
         pair, at = np.unique(mix(grams) ^ before[owner], return_index=True)
-        parts[kind] = words, coded, use, owner, grams, np.unique(grams[at], return_counts=True), len(pair)
-    toxic_grams, toxic_counts = parts[1][5]
-    known, counts = parts[0][5]
+        found.append((owner, grams, np.unique(grams[at], return_counts=True), len(pair)))
+    (_, _, (known, counts), ordinary_total), (owner, grams, (toxic_grams, toxic_counts), toxic_total) = found
     at = np.minimum(np.searchsorted(known, toxic_grams), max(0, len(known) - 1))
     ordinary_counts = np.where(known[at] == toxic_grams, counts[at], 0) if len(known) else np.zeros(len(toxic_grams))
-    share = max(1, parts[0][6]) / max(1, parts[1][6])
-    telling = np.sort(toxic_grams[(toxic_counts >= CONTEXTS) & (toxic_counts * share > LIFT * (ordinary_counts + 0.5))])
+    share = max(1, ordinary_total) / max(1, toxic_total)
+    telling = np.sort(toxic_grams[(toxic_counts >= CONTEXTS) & (toxic_counts * share > LIFT[view] * (ordinary_counts + 0.5))])
     if not len(telling):
         telling = np.sort(toxic_grams)
-    words, coded, use, owner, grams = parts[1][:5]
-    hits = np.bincount(owner[np.isin(grams, telling)], minlength=len(use))
-    windows = _windows(coded, np.flatnonzero(use & (2 * hits >= np.minimum(coded.counts, 4)) & (hits >= 2)))
+    use = [c.counts >= _LEAST for c in coded]
+    hits = np.bincount(owner[np.isin(grams, telling)], minlength=len(use[1]))
+    windows = _windows(coded[1], np.flatnonzero(use[1] & (2 * hits >= np.minimum(coded[1].counts, 4)) & (hits >= 2)), view)
     pick = np.random.Generator(np.random.PCG64(7))
     take = lambda w: [w[i] for i in pick.permutation(len(w))[:WINDOWS]]
-    words, coded, use = parts[0][:3]
-    ordinary = np.flatnonzero(use)
+    toxic = take(windows)
+    ordinary = np.flatnonzero(use[0])
     ordinary = ordinary[pick.permutation(len(ordinary))[:WINDOWS]]
-    model = Model(_dictionary(TOXIC_DICTIONARY, take(windows) or [LEAD]), _dictionary(ORDINARY_DICTIONARY, _windows(coded, ordinary) or [LEAD]), ())
+    return _dictionary(TOXIC_DICTIONARY, toxic or [LEAD]), _dictionary(ORDINARY_DICTIONARY, _windows(coded[0], ordinary, view) or [LEAD])
+
+
+def train(texts: list[str], toxic: list[int]) -> Model:
+    """Fit dictionaries on two thirds of the rows, and the calibration on the others."""
+    y = np.array(toxic, np.int64)
+    if len(y) == 0 or y.min() == y.max():
+        return Model((LEAD,) * VIEWS, (LEAD,) * VIEWS, (30.0 if len(y) and y[0] else -30.0, *[0.0] * FEATURES))
+    learn = np.arange(len(y)) % 3 != 2
+    if len(set(y[learn])) < 2 or len(set(y[~learn])) < 2:
+        learn[:] = True
+    rest = ~learn if not learn.all() else learn
+    column = pc.utf8_lower(pa.array(texts, pa.string()))
+    parts = [Words(*text_bytes(column.filter(pa.array(learn & (y == kind)))), ALNUM) for kind in (0, 1)]
+    coded = [Coded(words) for words in parts]
+    dictionaries = [_fit_view(view, parts, coded) for view in range(VIEWS)]
+    model = Model(*(tuple(d) for d in zip(*dictionaries, strict=True)), ())
     x = np.concatenate([f for _, _, f in features(column.filter(pa.array(rest)), model)])
     return Model(model.toxic, model.ordinary, _logistic(x, y[rest]))
 

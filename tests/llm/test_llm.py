@@ -1,6 +1,7 @@
 """The operators of the llm folder against brute force, round trips and odd inputs."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -270,6 +271,27 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not r.predicted for r in got.values())
 
 
+def test_toxicity_stems_of_ordinary_parts():
+    """Toxic words that begin with parts which are ordinary further inside words, in one language of two."""
+    rng = random.Random(5)
+    parts = {"de": "ach lich keit ung der ein sch heit ver ge zu ber ie au en st".split(), "en": "the ing tion er re an on at ou wh ly ble ed es or nd".split()}
+    rows = []
+    for i in range(900):
+        lang, toxic = ("de", "en")[i % 3 > 0], i % 7 == 0
+        words = ["".join(rng.choices(parts[lang], k=rng.randint(1, 4))) for _ in range(rng.randint(80, 300))]
+        words = [w for w in words if not w.startswith("achlich")]
+        for at in range(20, len(words), 40) if toxic else ():
+            words[at] = ("achlich" if lang == "de" else "idiot") + rng.choice(parts[lang])
+        rows.append((lang, " ".join(words), int(toxic)))
+    model = toxicity.train([t for _, t, _ in rows[:600]], [y for _, _, y in rows[:600]])
+    x = np.concatenate([f for _, _, f in toxicity.features(pa.array([t for _, t, _ in rows[600:]]), model)])
+    caught = toxicity.probability(x, model.weights) >= toxicity.THRESHOLD
+    for lang in parts:
+        right = [c == y for c, (k, _, y) in zip(caught, rows[600:], strict=True) if k == lang and y]
+        assert sum(right) >= 0.9 * len(right), lang
+    assert sum(c and not y for c, (_, _, y) in zip(caught, rows[600:], strict=True)) <= 3
+
+
 def test_toxicity_degenerate(spark):
     docs = documents(spark, ODD)
     empty = spark.createDataFrame([], "doc_id long, toxic int")
