@@ -8,7 +8,9 @@ as many entries as there are vectors. The candidates in the leaves are reranked
 inner product in double precision.
 
 Inner products become distances on a sphere by one more coordinate,
-``sqrt(max norm^2 - norm^2)``, which only the trees see. Equal vectors are one candidate
+``sqrt(max norm^2 - norm^2)``, which only the trees see; queries enter with the largest
+norm. Where norms are uneven, the longest vectors (one in ``LONG``, and those as long) are
+candidates of every query, as they may score high at any angle. Equal vectors are one candidate
 with their smallest ids, so thousands of copies cost one product.
 
 The leaves are dealt over tasks of about ``TASK_ROWS`` entries; a query visits each task
@@ -47,6 +49,8 @@ LEAF = 256
 #: Depth for small tables, and at most: 24 trees of 2 ** 12 leaves are 98,304 planes.
 LEAST_DEPTH, MOST_DEPTH = 6, 12
 TASK_ROWS = 1 << 16
+#: One in so many vectors is long enough to meet every query, where norms are uneven.
+LONG = 32
 SEED = 20240229
 
 
@@ -63,6 +67,8 @@ class Forest:
     planes: np.ndarray
     cuts: np.ndarray
     norm: float
+    #: Vectors of this squared norm or more are candidates of every query.
+    long: float = np.inf
 
     @property
     def depth(self) -> int:
@@ -85,8 +91,12 @@ class Forest:
         return out
 
     def margins(self, q: np.ndarray) -> np.ndarray:
-        """[queries, trees, nodes]; queries have 0 as their additional coordinate."""
-        return np.einsum("qd,tnd->qtn", q, self.planes[:, :, :-1], optimize=True) - self.cuts
+        """[queries, trees, nodes]; queries have the sphere's norm, as only their direction decides, and 0 as
+        their additional coordinate."""
+        # First by the largest component, so that no square under- or overflows.
+        unit = q / np.abs(q).max(axis=1, keepdims=True)
+        unit *= self.norm / np.linalg.norm(unit, axis=1, keepdims=True)
+        return np.einsum("qd,tnd->qtn", unit, self.planes[:, :, :-1], optimize=True) - self.cuts
 
     def search(self, margins: np.ndarray, sizes: np.ndarray, wanted: float) -> list[int]:
         """Codes (tree * leaves + leaf) in the order of the shared queue, until they hold ``wanted`` entries."""
@@ -113,6 +123,9 @@ def fit(sample: np.ndarray, rows: int, norm: float, trees: int = TREES, seed: in
     small = min(LEAST_DEPTH, int(np.ceil(np.log2(max(2, rows / 8)))))
     depth = min(MOST_DEPTH, max(small, int(np.ceil(np.log2(max(2, rows / LEAF))))))
     forest = Forest(np.zeros((trees, 2**depth - 1, sample.shape[1] + 1)), np.zeros((trees, 2**depth - 1)), norm)
+    square = np.sort(np.einsum("ij,ij->i", sample, sample))
+    if len(square) and norm**2 > 2 * square[len(square) // 2]:
+        forest.long = float(max(square[-max(1, len(square) // LONG)], 2 * square[len(square) // 2]))
     x = forest.lift(sample)
     for t in range(trees):
         members = [np.arange(len(x))]
@@ -168,6 +181,12 @@ class Index:
                     for t, leaf in enumerate(self.forest.leaves(v)):
                         key = (t * self.leaf_count + leaf) * self.parts + ids % self.parts
                         yield _entries(key % self.tasks, 0, key, [None] * len(ids), ids, v)
+                    # Dealt like one more tree, all of whose leaves are opened.
+                    far = np.einsum("ij,ij->i", v, v) >= self.forest.long
+                    if far.any():
+                        ids, v = ids[far], v[far]
+                        key = (self.trees * self.leaf_count + ids % self.leaf_count) * self.parts + ids // self.leaf_count % self.parts
+                        yield _entries(key % self.tasks, 0, key, [None] * len(ids), ids, v)
 
         return run
 
@@ -180,6 +199,8 @@ class Index:
                     task, lists, who = [], [], []
                     for i, m in enumerate(self.forest.margins(v)):
                         codes = np.array(self.forest.search(m, sizes, wanted), np.int64)
+                        if np.isfinite(self.forest.long):
+                            codes = np.concatenate([codes, self.trees * self.leaf_count + np.arange(self.leaf_count)])
                         keys = (codes[:, None] * self.parts + np.arange(self.parts)).ravel()
                         home = keys % self.tasks
                         for k in np.unique(home).tolist():
@@ -259,7 +280,8 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, trees: int = TREES, s
     members = materialize(classes.select("id", "v").mapInArrow(lean(index.members()), ENTRY), "ann-members")
     sizes = np.zeros((trees, index.leaf_count), np.int64)
     # A row per leaf, of which there are trees * 2 ** 12 at most.
-    for r in members.groupBy(F.expr(f"code div {index.parts}").alias("leaf")).count().collect():
+    in_trees = members.filter(F.col("code") < trees * index.leaf_count * index.parts)
+    for r in in_trees.groupBy(F.expr(f"code div {index.parts}").alias("leaf")).count().collect():
         sizes[r.leaf // index.leaf_count, r.leaf % index.leaf_count] = r["count"]
     asked = base.filter(queries).select(F.col("vec_id").alias("id"), "v")
     # One more than asked for: the query itself is among the candidates. A vector is in one leaf of each

@@ -178,6 +178,24 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), ann.F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("few_long", [False, True])
+def test_nearest_uneven_norms(spark, few_long):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(2000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v *= np.where(np.arange(2000) % 66 == 5, 50.0, 1.0)[:, None] if few_long else np.exp(rng.normal(size=(2000, 1)))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest(df, ann.F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    recall = []
+    for q in range(0, 2000, 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        recall.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.95
+
+
 # 4. Near-duplicates.
 def shingles(text, k):
     w = WORD.findall((text or "").translate(LOWER))
