@@ -16,8 +16,10 @@ Every link is confirmed on the full sets.
 Defined cases: null and empty texts, and texts without words, have an empty set,
 are linked with nothing and are kept; texts of fewer words than a shingle are one
 shingle; a null ``doc_id`` is never a component's smallest unless all are null;
-rows that repeat an id with the component's smallest id are all kept; an empty
-table gives an empty result; extra columns are ignored.
+rows that repeat an id with the component's smallest id are all marked kept; an empty
+table gives an empty result; extra columns are ignored. :func:`keep_one_each` tells rows
+apart by id and text, so exactly one row of each component stays, whichever ids are
+repeated or null, and a row without words always stays.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import UnionFind, connected_components
-from .store import BROADCAST_ROWS, bounded_batches, discard, lean, materialize, sized, table_dir
+from .components import ONE_TASK_EDGES, UnionFind, connected_components
+from .store import BROADCAST_ROWS, bounded_batches, discard, free, lean, materialize, sized, table_dir
 from .textscan import NON_SPACE, U64, Words, chunks, mix, text_bytes
 
 SLOTS = 96
@@ -41,8 +43,8 @@ MOST_BITS = 30
 SHINGLE_WORDS = 5
 PERCENT = 80
 CHUNK = 1 << 20
-#: Nodes of a bucket's block; a task compares two blocks at a time.
-BLOCK = 1024
+#: Nodes of a bucket's block on average, and shingles in all their sets; a task compares two blocks at a time.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Columns of the bit matrix that are built at a time.
 COLUMNS = 1 << 14
 _LEVEL = 40
@@ -130,13 +132,13 @@ def _nodes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([mix(a + size), mix(b ^ size)], axis=1)
 
 
-SIGNED = "doc_id long, n_shingles long, node binary, bands array<long>, s1 long, s2 long"
+SIGNED = "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, s1 long, s2 long"
 
 
 def _sign(k: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = text_bytes(b.column(1))
+            data, offsets = text_bytes(b.column(2))
             for lo, hi in chunks(offsets, CHUNK):
                 part = offsets[lo : hi + 1]
                 hashes, first = shingle_sets(data[part[0] : part[-1]], part - part[0], k)
@@ -161,8 +163,8 @@ def _sign(k: int):
                 ends = np.concatenate([[0], np.cumsum(np.where(valid, BANDS, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_buffers(pa.list_(pa.int64()), len(n), [pa.array(valid).buffers()[1], pa.py_buffer(ends)], children=[pa.array(values)])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), _binary(node, 16, valid), bands, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])],
-                    names=["doc_id", "n_shingles", "node", "bands", "s1", "s2"],
+                    [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), _binary(node, 16, valid), bands, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])],
+                    names=["doc_id", "text_hash", "n_shingles", "node", "bands", "s1", "s2"],
                 )
 
     return sign
@@ -201,13 +203,10 @@ def _confirm(percent: int):
     return confirm
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with equal first three columns, which stand together. Only groups over several batches are copied."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows with equal first three columns, which stand together. Groups over several batches stay in several chunks,
+    as binary values of more than 2 GB don't fit into one."""
     key, parts = None, []
-
-    def whole() -> pa.RecordBatch:
-        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
     for b in batches:
         columns = [b.column(i).to_numpy() for i in range(3)]
         fresh = np.zeros(b.num_rows, bool)
@@ -217,16 +216,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             own = tuple(int(c[lo]) for c in columns)
             if parts and own != key:
-                yield whole()
+                yield pa.Table.from_batches(parts)
                 parts = []
             key = own
             parts.append(b.slice(lo, hi - lo))
     if parts:
-        yield whole()
+        yield pa.Table.from_batches(parts)
 
 
-def _differ(column: pa.Array) -> np.ndarray:
-    codes = column.dictionary_encode().indices.to_numpy()
+def _differ(column: pa.ChunkedArray) -> np.ndarray:
+    codes = column.combine_chunks().dictionary_encode().indices.to_numpy()
     return codes[:, None] != codes[None, :]
 
 
@@ -295,30 +294,53 @@ def _forest(percent: int):
     return forest
 
 
-class NearDuplicates:
-    """The steps of one run; ``rows`` has a row per document, ``component`` a row per merged node."""
+def row_hash(text: Column) -> Column:
+    """Tells texts of rows with the same id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT):
-        self.docs = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+class NearDuplicates:
+    """The steps of one run; ``signed`` has a row per document, ``classes`` a row per distinct set.
+
+    ``block`` and ``block_shingles`` bound what a task compares at a time, ``one_task`` the edges
+    that one task may merge; none of them changes the result.
+    """
+
+    def __init__(
+        self,
+        docs: DataFrame,
+        id_col: str = "doc_id",
+        text_col: str = "text",
+        words: int = SHINGLE_WORDS,
+        percent: int = PERCENT,
+        block: int = BLOCK,
+        block_shingles: int = BLOCK_SHINGLES,
+        one_task: int = ONE_TASK_EDGES,
+    ):
+        text = F.col(text_col)
+        self.docs = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), row_hash(text).alias("text_hash"), text.alias("text"))
         self.words, self.percent = words, percent
+        self.block, self.block_shingles, self.one_task = block, block_shingles, one_task
         self.signed = materialize(self.docs.mapInArrow(lean(_sign(words)), SIGNED), "minhash-signed")
+        # The first row of a class by id, nulls last.
+        rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
         classes = self.signed.filter("node IS NOT NULL").groupBy("node").agg(
-            F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2")
+            rep.alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2")
         )
         self.classes = materialize(classes, "minhash-classes")
 
     def run(self) -> DataFrame:
-        """Result per document: doc_id, n_shingles, component_id, kept."""
+        """Per document: doc_id, text_hash, n_shingles, first (the first row of its component; null without words)."""
         buckets = self._buckets()
         links = self._verified(self._leader_pairs(buckets))
-        merged = connected_components(links)
+        merged = connected_components(links, self.one_task)
         apart = self._apart(buckets, merged)
         dealt = self._blocks(apart, ["node", "component", "n", "s1", "s2"])
         hopeful = materialize(dealt.mapInArrow(lean(_hopeful(self.percent)), "node binary").distinct(), "minhash-hopeful")
         sets = self._sets_of(hopeful.join(self.classes.select("node", "rep"), "node"))
-        rows = apart.select("key", "node", "component").join(sets, "node")
+        rows = apart.select("key", "node", "component", "n").join(sets, "node")
         more = self._blocks(rows, ["node", "component", "shingles"]).mapInArrow(lean(_forest(self.percent)), "u binary, v binary")
-        return self._result(connected_components(links.union(more)))
+        return self._result(connected_components(links.union(more), self.one_task))
 
     def _buckets(self) -> DataFrame:
         """(key, node) of the buckets with at least two nodes."""
@@ -341,7 +363,8 @@ class NearDuplicates:
     def _blocks(self, rows: DataFrame, columns: list[str]) -> DataFrame:
         """The rows of each bucket dealt into pairs of blocks, which stand together and in order."""
         n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+        blocks = F.greatest(F.ceil(F.count("*") / self.block), F.ceil(F.sum("n") / self.block_shingles)).cast("int")
+        sizes = rows.groupBy("key").agg(blocks.alias("blocks")).filter("blocks > 1")
         dealt = rows.join(sized(sizes, "minhash-sizes"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -356,10 +379,11 @@ class NearDuplicates:
     def _sets_of(self, wanted: DataFrame) -> DataFrame:
         """(node, shingles) of the nodes in ``wanted`` (node, rep), from the texts of their documents."""
         wanted = materialize(wanted, "minhash-wanted")
-        ids = wanted.select(F.col("rep").alias("want")).distinct()
+        ids = wanted.select(F.col("rep.doc_id").alias("want"), F.col("rep.text_hash").alias("want_hash")).distinct()
         if wanted.count() <= BROADCAST_ROWS:
             ids = F.broadcast(ids)
-        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("want")), "left_semi").select("text")
+        same = F.col("doc_id").eqNullSafe(F.col("want")) & (F.col("text_hash") == F.col("want_hash"))
+        texts = self.docs.join(ids, same, "left_semi").select("text")
         sets = texts.mapInArrow(lean(_sets(self.words)), "node binary, shingles binary")
         return materialize(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "minhash-sets")
 
@@ -380,23 +404,38 @@ class NearDuplicates:
         return out
 
     def _result(self, merged: DataFrame) -> DataFrame:
-        named = self.classes.join(merged, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-        least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-        by_node = materialize(named.join(least, "component").select("node", "component_id"), "minhash-named")
-        rows = self.signed.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
-        component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-        return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        # Only components of several nodes need their first row found; most nodes are alone.
+        roots = merged.select(F.col("component").alias("node"), "component").distinct()
+        reps = self.classes.select("node", "rep")
+        least = merged.select("node", "component").union(roots).join(reps, "node").groupBy("component").agg(F.min("rep").alias("first"))
+        named = reps.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = named.join(sized(least, "minhash-first"), "component", "left").select("node", F.coalesce("first", "rep").alias("first"))
+        by_node = materialize(named, "minhash-named")
+        return self.signed.select("doc_id", "text_hash", "n_shingles", "node").join(by_node, "node", "left").drop("node")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT, **bounds) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per document of ``docs``."""
-    return NearDuplicates(docs, id_col, text_col, words, percent).run()
-
-
-def keep_one_each(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the near-duplicates of a smaller id; columns unchanged."""
-    gone = near_duplicates(docs, words=words, percent=percent).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(sized(gone, "minhash-gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    rows = NearDuplicates(docs, id_col, text_col, words, percent, **bounds).run()
+    component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT, **bounds) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id; columns unchanged."""
+    rows = NearDuplicates(docs, id_col, text_col, words, percent, **bounds).run().filter("first IS NOT NULL")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    found = rows.groupBy("doc_id", "text_hash").agg(F.bool_and(stays).alias("stays"), F.count("*").alias("copies")).filter("NOT stays OR copies > 1")
+    own, of, mark, stay = free(docs, "own_hash", "of_id", "of_hash", "stay")
+    found = sized(found.select(F.col("doc_id").alias(of), F.col("text_hash").alias(mark), F.col("stays").alias(stay)), "minhash-found")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(of)) & (F.col(own) == F.col(mark))
+    known = docs.withColumn(own, row_hash(F.col(text_col))).join(found, same, "left")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    out = known.filter(F.col(stay).isNull()).select(*names)
+    if found.filter(stay).limit(1).count():
+        # Rows that repeat both id and text: one of them stays.
+        out = out.union(known.filter(stay).dropDuplicates([of, mark]).select(*names))
+    return out
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,16 @@ def sized(df: DataFrame, label: str, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each behind as many underscores as it takes for ``df`` to have no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def tidy() -> None:
     """Give freed memory back: a worker stays for later stages, as do the others of its executor."""
     import ctypes

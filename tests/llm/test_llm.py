@@ -147,6 +147,8 @@ def test_mixing(spark):
         want[r.doc_id] += r.taken // r.size if r.size else 0
     assert mixed == +want
     assert mixing.mix(documents(spark, rows).limit(0)).count() == 0
+    clash = documents(spark, rows).withColumnsRenamed({"node": "passes", "key": "mix_key", "u": "target", "v": "_mix_key", "h": "copies"})
+    assert Counter(r.doc_id for r in mixing.mixed_documents(clash).collect()) == mixed and mixing.mixed_documents(clash).columns == clash.columns
 
 
 # 3. Nearest neighbours.
@@ -236,6 +238,58 @@ def test_near_duplicates(spark, k):
     assert minhash.near_duplicates(documents(spark, rows).limit(0), words=k).count() == 0
 
 
+def test_near_duplicates_in_small_blocks(spark):
+    """Bounds of blocks and components don't change the result."""
+    rng = np.random.default_rng(14)
+    words = [f"w{x}" for x in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(words)
+        for at in rng.integers(0, len(w), 3):
+            w[at] = f"n{rng.integers(0, 40)}"
+        rows.append((i, " ".join(w), "s"))
+    rows += [(1000 + i, "x " * i + "long tail of words", "s") for i in range(20)] + list(ODD)
+    got = minhash.near_duplicates(documents(spark, rows), words=2, block=8, block_shingles=400, one_task=0).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(rows, 2, 80))
+
+
+def test_groups_over_batches():
+    """Groups that span batches come whole, in several chunks."""
+    b = [pa.RecordBatch.from_pydict({"key": [1, 1, 2], "a": [0, 0, 0], "b": [0, 0, 0], "x": [b"p", b"q", b"r"]}), pa.RecordBatch.from_pydict({"key": [2, 2, 3], "a": [0, 0, 0], "b": [0, 1, 0], "x": [b"s", b"t", b"u"]})]
+    got = [g.column(3).to_pylist() for g in minhash._groups(iter(b))]
+    assert got == [[b"p", b"q"], [b"r", b"s"], [b"t"], [b"u"]]
+    assert minhash._differ(pa.chunked_array([[b"p"], [b"q", b"p"]])).tolist() == [[False, True, False], [True, False, True], [False, True, False]]
+
+
+LINE = " ".join(f"word{i}" for i in range(60))
+OTHER = " ".join(f"thing{i}" for i in range(60))
+
+
+def test_keep_one_each(spark):
+    """Ids under several texts, null ids, rows that repeat: one row of each component stays."""
+    rows = [
+        *[(3, LINE, "a"), (5, OTHER, "b"), (5, LINE + " x", "c"), (None, LINE + " y", "d"), (9, OTHER + " z", "e")],
+        *[(20, "alone with its own words here", "f"), (20, "alone with its own words here", "g"), (5, "also of its own kind entirely", "h"), (None, "nothing like the others at all", "i")],
+        *[(None, None, "j"), (None, "", "k"), (20, None, "l"), (20, "", "l")],
+    ]
+    docs = documents(spark, rows)
+    kept = minhash.keep_one_each(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == Counter([(3, LINE), (5, OTHER), (20, "alone with its own words here"), (5, "also of its own kind entirely"), (None, "nothing like the others at all"), (None, None), (None, ""), (20, None), (20, "")])
+    clash = docs.withColumnsRenamed({"node": "own_hash", "key": "stay", "u": "of_id", "v": "_of_id"})
+    assert Counter((r.doc_id, r.text) for r in minhash.keep_one_each(clash).collect()) == got
+    assert minhash.keep_one_each(docs.limit(0)).count() == 0
+
+
+def test_large_component(spark):
+    """A component of 100,000 nodes, by stars, with forests smaller than it."""
+    n = 100_000
+    edges = spark.range(1, n).selectExpr("id AS u", "id div 7 AS v").repartition(8)
+    got = components.connected_components(edges, one_task=0, forest=3000)
+    assert got.count() == n - 1 and not got.filter("component <> 0").count()
+
+
 def test_super_minhash():
     rng = np.random.default_rng(5)
     errors = []
@@ -341,6 +395,27 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_keep_first_hashes_only_survivors(spark, monkeypatch):
+    same = "t" * 300
+    rows = [(i, f"{same} {i % 10 if i < 20 else i}", "s") for i in range(40)] + [(100 + i, "x" * (i + 400), "s") for i in range(30)] + [(7, "own" * 200, "s"), (None, "y" * 999, "s"), (None, "y" * 999, "s"), (200, f"{same}\t3", "s")]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        seen.add(1)
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    monkeypatch.setattr(exact_dedup, "digest", lambda norm: exact_dedup.F.udf(counted)(norm))
+    kept = exact_dedup.keep_first(documents(spark, rows))
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)
+    levels = Counter((len(norm(t)), norm(t)[:256]) for _, t, _ in rows)
+    ids = {i for i, t, _ in rows if levels[len(norm(t)), norm(t)[:256]] > 1}
+    first = {}
+    for i, t, _ in rows:
+        first.setdefault(norm(t), i)
+    assert Counter((r.doc_id, norm(r.text)) for r in kept.collect()) == Counter((i, t) for t, i in first.items())
+    assert seen.value == sum(i in ids for i, _, _ in rows) < len(rows) - 25
+
+
 # 7. License scan.
 def test_license_scan(spark):
     rows = [
