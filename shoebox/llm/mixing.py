@@ -14,7 +14,8 @@ Defined cases: a null text has size 0; a null source is a source of its own, las
 in order; documents of size 0 and those of a source with target 0 are taken 0
 times; rows that agree in key, source and size share one decision (a document
 listed twice is queued once, with both copies' words); an empty table gives an
-empty result; extra columns are ignored.
+empty result; extra columns are ignored by the mix and kept, whatever their names, by
+:func:`mixed_documents`.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import free, materialize, sized
 
 #: Weights by the sources' order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -51,7 +52,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     Shares by weight, capped at ``REPEATS`` times the source's size; what a cap
     leaves over is shared by weight among the others. With sources in the order of
     cap over weight, the capped ones are a prefix, which running sums find at once.
-    The table has a row per source of the mix.
+    The table has a row per source of the mix, and its windows span them all: fine up to millions of sources.
     """
     weights = F.array(*[F.lit(w) for w in WEIGHTS])
     ranked = sizes.withColumn("__n", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
@@ -102,12 +103,13 @@ def plan_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     served = served.filter("finish <= 2 OR finish - words / target < 1")
     served = served.withColumn("time_slice", F.floor(F.col("finish") * TIME_SLICES))
     clock = served.groupBy("time_slice").agg(F.sum("words").alias("slice_words"))
-    # Sizes of the slices of virtual time: at most 2 * TIME_SLICES rows, and one more per source.
+    # Sizes of the slices of virtual time: at most 2 * TIME_SLICES rows, and one more for each document that is longer
+    # than its source's target by itself.
     run = W.orderBy("time_slice").rowsBetween(W.unboundedPreceding, -1)
     budget = targets.agg(F.sum("source_size").alias("budget"))
     clock = clock.withColumn("clock_before", F.coalesce(F.sum("slice_words").over(run), F.lit(0))).crossJoin(F.broadcast(budget))
     clock = clock.filter("clock_before < budget").select(F.col("time_slice").alias("c_slice"), "clock_before", "budget")
-    near = served.join(F.broadcast(clock), F.col("time_slice") == F.col("c_slice"), "inner")
+    near = served.join(sized(clock, "mix-clock"), F.col("time_slice") == F.col("c_slice"), "inner")
     order = W.partitionBy("time_slice").orderBy("finish", F.col("source").asc_nulls_last(), "h", "doc_id", "size", "pass").rowsBetween(W.unboundedPreceding, 0)
     ranked = near.withColumn("position", F.col("clock_before") + F.sum("words").over(order))
     chosen = ranked.filter("position <= budget").groupBy("doc_id", "source", "size").agg(F.count("*").alias("taken_passes"))
@@ -124,13 +126,15 @@ def mix(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "source")
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The documents that the mix takes, each as often as it takes them; columns unchanged."""
-    decisions, _ = plan_mix(docs)
-    taken = decisions.filter("passes > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "passes")
-    sized = docs.withColumn("__words", word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    rows = sized.join(taken, same, "inner").withColumn("__pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))))
+    decisions, _ = plan_mix(docs, key, source, text)
+    names = free(docs, "mix_key", "mix_source", "mix_size", "mix_passes", "mix_words", "mix_pass")
+    own_key, own_source, own_size, times, words, turn = names
+    taken = decisions.filter("passes > 0").select(F.col("doc_id").alias(own_key), F.col("source").alias(own_source), F.col("size").alias(own_size), F.col("passes").alias(times))
+    counted = docs.withColumn(words, word_count(F.col(text)))
+    same = F.col(key).eqNullSafe(F.col(own_key)) & F.col(source).eqNullSafe(F.col(own_source)) & (F.col(words) == F.col(own_size))
+    rows = counted.join(taken, same, "inner").withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
