@@ -105,7 +105,7 @@ def test_warc_frames(tmp_path):
     w = warc.Writer(f"file://{tmp_path}/a.warc.zst")
     bodies = {i: bytes([i]) * 50_000 for i in range(30)}
     for i, b in bodies.items():
-        w.add(warc.urn(i), warc.record(i, "u", b, hashlib.sha256(b).hexdigest(), None, False))
+        w.add(warc.urn(i, hashlib.sha256(b).hexdigest()), warc.record(i, "u", b, hashlib.sha256(b).hexdigest(), None, False))
     path = w.close()[0]
     with store.open_read(path) as f:
         assert len(warc.footer(f)) > 3 and len(warc.record_index(f)) == 30
@@ -198,6 +198,46 @@ def test_nearest_uneven_norms(spark, few_long):
     assert np.mean(recall) >= 0.95
 
 
+def test_nearest_beyond_the_range_of_doubles(spark):
+    """Products that overflow, and vectors of tiny and huge norms together."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 8)) * 1e200
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, ann.F.col("vec_id") % 20 == 0, k=5).collect()
+    assert Counter(r.query_id for r in got) == {0: 5, 20: 5, 40: 5}
+    small = np.concatenate([v[:30] * 1e-200, v[30:] * 1e-330])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(small)], "vec_id long, embedding array<double>")
+    for r in ann.nearest(df, ann.F.col("vec_id") == 0, k=1).collect():
+        s = small @ small[0]
+        s[0] = -np.inf
+        assert r.vec_id == int(np.argmax(s))
+
+
+def test_nearest_in_many_blocks(spark):
+    """A forest deeper than the upper levels, small blocks and a budget: all leaves opened find everything."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(3000, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    forest = ann.fit(v, 200_000, float(np.log2(np.linalg.norm(v, axis=1).max())), trees=3)
+    assert forest.depth > ann.UPPER
+    codes = forest.codes(v)
+    sizes = np.bincount(codes[:, :-1].ravel(), minlength=3 * forest.leaf_count).reshape(3, -1)
+    every = next(forest.search(v[:1], sizes, 9001))
+    assert sorted(every.tolist())[: 3 * forest.leaf_count] == list(range(3 * forest.leaf_count))
+    near = next(forest.search(v[:1], sizes, 300))
+    assert set(codes[0, :-1].tolist()) <= set(near.tolist()) and 300 <= sizes.ravel()[near[near < sizes.size]].sum() < 600
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, ann.F.col("vec_id") % 100 == 0, k=10, search=99.0, block_rows=100).collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    for q, found in got.items():
+        s = (v * v[q]).sum(axis=1)
+        s[q] = -np.inf
+        assert [i for _, i in sorted(found)] == np.lexsort((np.arange(3000), -s))[:10].tolist()
+    few = ann.nearest(df, ann.F.col("vec_id") % 100 == 0, k=10, budget=900).collect()
+    assert len(few) == 300
+
+
 # 4. Near-duplicates.
 def shingles(text, k):
     w = WORD.findall((text or "").translate(LOWER))
@@ -550,10 +590,52 @@ def test_token_files(spark):
         if i is not None:
             found = [x.tolist() for s in shards for x in s.get(i)]
             assert found and all(x == ids[i, t] for x in found)
-    assert not any(s.get(123456) for s in shards)
+    assert not any(s.get(123456) for s in shards) and not token_files.lookup(manifest, 123456)
+    for i, t, _ in ODD:
+        if i is not None:
+            found = [x.tolist() for x in token_files.lookup(manifest, i)]
+            assert found == [ids[i, t]] * sum(j == i for j, _, _ in ODD)
     assert token_files.read_ids(token_files.write_ids(documents(spark, ODD).limit(0), store.scratch(spark, "t"), path)).count() == 0
 
 
+def test_shards_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Shards close by documents, a repeated key may span them, and a keyed read takes few bytes of an open shard."""
+    kind = np.dtype("<u2")
+    w = token_files.ShardWriter(f"file://{tmp_path}/a.ids", kind)
+    n = 20_000
+    counts = np.arange(n) % 5 + 1
+    data = (np.repeat(np.arange(n), counts) % 60_000).astype(kind)
+    w.add(np.arange(0, 3 * n, 3), 0, data, counts)
+    path, docs, total, first, last = w.close()
+    assert (docs, total, first, last) == (n, len(data), 0, 3 * n - 3)
+    shard, read = token_files.Shard(path), []
+    opened = shard.file
+
+    class Counting:
+        def seek(self, *a):
+            return opened.seek(*a)
+
+        def read(self, size):
+            read.append(size)
+            return opened.read(size)
+
+    shard.file = Counting()
+    for k in (0, 1, 17 * 3, 3 * n - 3, 3 * n, -5):
+        read.clear()
+        want = [[k // 3 % 60_000] * (k // 3 % 5 + 1)] if 0 <= k < 3 * n and k % 3 == 0 else []
+        assert [x.tolist() for x in shard.get(k)] == want and sum(read) < 2000
+    row, run = shard.find(np.array([3, 4, 9]))
+    assert row.tolist() == [1, -1, 3] and run.tolist() == [1, 0, 1]
+
+    rows = [(i % 7, f"text {i}", "s") for i in range(60)] + [(None, "x", "s")] * 3
+    docs = documents(spark, rows).repartition(3)
+    path = token_files.tokenizer_path()
+    manifest = token_files.write_ids(docs, store.scratch(spark, "t"), path)
+    for i in range(7):
+        assert len(token_files.lookup(manifest, i)) == sum(r[0] == i for r in rows)
+    assert token_files.read_ids(manifest).count() == len(rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(texts)
 def test_encode_equals_the_library(rows):
