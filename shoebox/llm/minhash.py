@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import ONE_TASK_EDGES, UnionFind, connected_components
-from .store import BROADCAST_ROWS, bounded_batches, discard, free, lean, materialize, sized, table_dir
+from .store import BROADCAST_ROWS, bounded_batches, free, lean, materialize, scope, sized
 from .textscan import NON_SPACE, U64, Words, chunks, mix, text_bytes
 
 SLOTS = 96
@@ -331,6 +331,13 @@ class NearDuplicates:
 
     def run(self) -> DataFrame:
         """Per document: doc_id, text_hash, n_shingles, first (the first row of its component; null without words)."""
+        with scope(self.docs.sparkSession) as keep:
+            by_node = self._named()
+            keep.append(by_node)
+        return self.signed.select("doc_id", "text_hash", "n_shingles", "node").join(by_node, "node", "left").drop("node")
+
+    def _named(self) -> DataFrame:
+        """(node, first), written."""
         buckets = self._buckets()
         links = self._verified(self._leader_pairs(buckets))
         merged = connected_components(links, self.one_task)
@@ -398,10 +405,7 @@ class NearDuplicates:
         left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
         both = known.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "x", "y")
-        out = materialize(both.mapInArrow(lean(_confirm(self.percent)), "u binary, v binary"), "minhash-links")
-        for t in (sets, known):
-            discard(t.sparkSession, table_dir(t))
-        return out
+        return materialize(both.mapInArrow(lean(_confirm(self.percent)), "u binary, v binary"), "minhash-links")
 
     def _result(self, merged: DataFrame) -> DataFrame:
         # Only components of several nodes need their first row found; most nodes are alone.
@@ -410,8 +414,7 @@ class NearDuplicates:
         least = merged.select("node", "component").union(roots).join(reps, "node").groupBy("component").agg(F.min("rep").alias("first"))
         named = reps.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
         named = named.join(sized(least, "minhash-first"), "component", "left").select("node", F.coalesce("first", "rep").alias("first"))
-        by_node = materialize(named, "minhash-named")
-        return self.signed.select("doc_id", "text_hash", "n_shingles", "node").join(by_node, "node", "left").drop("node")
+        return materialize(named, "minhash-named")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = PERCENT, **bounds) -> DataFrame:

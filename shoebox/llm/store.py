@@ -1,14 +1,19 @@
 """Shared folder of the cluster: written tables and raw files in it.
 
-``spark.checkpoint.dir`` names a folder that the driver and all executors see.
-Tests that leave it unset get a folder of their own.
+``spark.checkpoint.dir`` names a folder that the driver and all executors see. Local
+sessions that leave it unset get a folder of their own, which goes with the process; on a
+cluster that is an error, as executors would write where nobody else reads.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +23,15 @@ _OWN: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where unset, one made for this process."""
+    """The folder in ``spark.checkpoint.dir``; where unset, one made for this process, if Spark is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="shoebox-"))
+            own = tempfile.mkdtemp(prefix="shoebox-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            _OWN.append("file://" + own)
         root = _OWN[0]
     return root.rstrip("/")
 
@@ -38,7 +47,11 @@ BATCH_BYTES = "4m"
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose session from now on sends batches of bounded size to Python."""
+    """``df``, whose session from now on sends batches of bounded size to Python.
+
+    The bound has to hold when the result is computed, which is after the operator returned; so it stays
+    in the session.
+    """
     df.sparkSession.conf.set(BATCH, BATCH_BYTES)
     return df
 
@@ -106,12 +119,33 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     so a lost executor costs a re-read and not a recomputation."""
     spark = df.sparkSession
     path = scratch(spark, label)
+    for made in _SCOPES:
+        made.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shoebox_dir = path
     return out
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables that :func:`materialize` writes inside are deleted at the end, but for those put into the list."""
+    made: list[str] = []
+    keep: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(made)
+    kept = {table_dir(df) for df in keep}
+    for path in made:
+        if path not in kept:
+            discard(spark, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -125,7 +159,9 @@ def _filesystem(uri: str):
         return None, u.path
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    # Hadoop's names of a scheme that pyarrow knows by another.
+    known = {"s3a": "s3", "s3n": "s3", "abfs": "abfss"}.get(u.scheme, u.scheme)
+    return fs.FileSystem.from_uri(known + uri[len(u.scheme) :])
 
 
 def open_write(uri: str):

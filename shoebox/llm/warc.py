@@ -43,12 +43,17 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def urn(page_id: int | None) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}>"
+def _page(page_id: int | None) -> str:
+    return f"<urn:page:{'null' if page_id is None else page_id}:"
+
+
+def urn(page_id: int | None, digest: str) -> str:
+    """A record's id, of page and payload: only rows that repeat both share it, and a revisit can name its response's."""
+    return f"{_page(page_id)}{digest[:32]}>"
 
 
 def _from_urn(value: str) -> int | None:
-    got = re.fullmatch(r"<urn:page:(-?\d+)>", value)
+    got = re.fullmatch(r"<urn:page:(-?\d+):[0-9a-f]+>", value)
     return int(got[1]) if got else None
 
 
@@ -59,13 +64,13 @@ def record(page_id: int | None, url: str | None, html: bytes, digest: str, refer
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {urn(page_id)}",
+        f"WARC-Record-ID: {urn(page_id, digest)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}",
         f"WARC-Payload-Digest: sha256:{digest}",
     ]
     if revisit:
-        head += [f"WARC-Refers-To: {urn(refers_to)}", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: {urn(refers_to, digest)}", f"WARC-Profile: {PROFILE}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
@@ -168,7 +173,8 @@ def lookup(uri: str, page_id: int | None) -> list[tuple[dict[str, str], bytes]]:
     """The records of one page in one bundle; reads the footer, the index and single frames."""
     with open_read(uri) as f:
         frames = footer(f)
-        return [parse(read_frame(f, *frames[n]), at)[:2] for n, at, _ in record_index(f).get(urn(page_id), [])]
+        places = [x for key, found in record_index(f).items() if key.startswith(_page(page_id)) for x in found]
+        return [parse(read_frame(f, *frames[n]), at)[:2] for n, at, _ in places]
 
 
 MANIFEST = "path string, n_records long, n_bytes long"
@@ -183,7 +189,7 @@ def _writer(root: str):
             for page_id, url, html, digest, head, revisit in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if w is None:
                     w, n = Writer(f"{root}/{task_tag()}-{n:04d}.warc.zst"), n + 1
-                w.add(urn(page_id), record(page_id, url, html, digest, head, revisit))
+                w.add(urn(page_id, digest), record(page_id, url, html, digest, head, revisit))
                 if w.size >= FILE_BYTES:
                     done.append(w.close())
                     w = None
