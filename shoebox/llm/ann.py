@@ -69,8 +69,8 @@ SEED = 20240229
 
 def sound(v: Column) -> Column:
     """Vectors that take part."""
-    finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
+    least, most = F.array_min(v), F.array_max(v)  # NaN counts as the largest
+    return F.coalesce(F.forall(v, lambda x: x.isNotNull()) & (most < float("inf")) & (least > float("-inf")) & ((most != 0) | (least != 0)), F.lit(False))
 
 
 @dataclass
@@ -345,12 +345,14 @@ def nearest(
     condition on ``vec_id``) picks, among all other rows."""
     kind = "float" if dict(rows.dtypes)[vector_col] == "array<float>" else "double"
     base = bounded_batches(rows).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
-    base = base.filter(F.col("vec_id").isNotNull() & sound(F.col("v")))
+    base = materialize(base.filter(F.col("vec_id").isNotNull() & sound(F.col("v"))), "ann-sound")
     length = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     result = "query_id long, rank int, vec_id long, score double"
     if length is None:
         return rows.sparkSession.createDataFrame([], result)
-    base = materialize(base.filter(F.size("v") == length.d).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-base")
+    base = base.filter(F.size("v") == length.d)
+    if base.groupBy("vec_id").count().filter("count > 1").limit(1).count():
+        base = materialize(base.groupBy("vec_id").agg(F.min("v").alias("v")), "ann-base")
     classes = materialize(base.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "ann-classes")
     # The norm's logarithm, as squares of large components overflow.
     largest = F.array_max(F.transform("v", F.abs)).cast("double")

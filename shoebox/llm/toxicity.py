@@ -1,8 +1,11 @@
 """Toxicity by compression distance.
 
 Two Zstandard dictionaries are trained, one on toxic and one on ordinary text. A
-window is a word between its borders; how many bytes fewer it takes with the toxic
-dictionary than with the ordinary one, as a share of its length, is its gain.
+window is a word between its borders, or of a run longer than ``WINDOW`` 4-grams each
+overlapping part of that length; how many bytes fewer it takes with the toxic
+dictionary than with the ordinary one, as a share of its length, is its gain, and that of
+a long run is its best window's. (Windows of raw text over several words tell toxic
+documents hardly apart, see the README.)
 A match costs Zstandard about three bytes, too many for a word of eight: windows are
 therefore widened, each of their 4-grams standing as a 3-byte code, so a match saves
 in proportion to the characters that agree. In a second view of the words, with its own
@@ -16,8 +19,9 @@ Toxic documents are mostly ordinary text, so the toxic dictionary is trained on
 words whose 4-grams are frequent in toxic documents, by distinct preceding word (copies
 of a document count once), and rare in ordinary ones.
 
-The fit uses at most ``SAMPLE`` labelled rows of each class, chosen by hash; every
-text is scored whole.
+The fit uses at most ``SAMPLE`` labelled rows of each class, chosen by hash, and of a text
+of more than ``SAMPLE_CHARS`` characters as many, in ``SAMPLE_SLICES`` slices spread evenly
+over it; every text is scored whole.
 
 Defined cases: null and empty texts and texts without words score what a document
 without gain scores; repeated rows score alike; a null ``doc_id`` is never held out;
@@ -44,10 +48,14 @@ from .store import bounded_batches, lean, tidy
 from .textscan import ALNUM, U64, Words, chunks, mix, text_bytes
 
 SAMPLE = 800
+#: Characters of a text that the fit sees, and the slices of a longer one: some 50 MB in all at most.
+SAMPLE_CHARS, SAMPLE_SLICES = 1 << 15, 8
 GRAM = 4
 CODE = 3
 #: 4-grams from a word's begin that also stand for what is before them in the word.
 ANCHOR = 8
+#: 4-grams of a window.
+WINDOW = 64
 LEVEL = 3
 ORDINARY_DICTIONARY, TOXIC_DICTIONARY = 1 << 16, 1 << 13
 #: Windows given to a dictionary's training.
@@ -117,6 +125,11 @@ def _compressors(toxic: bytes, ordinary: bytes) -> tuple:
     return tuple(out)
 
 
+def window_starts(n: int) -> range | list[int]:
+    """Where the windows of a run of ``n`` 4-grams begin: half a window apart, the last at its end."""
+    return [0] if n <= WINDOW else [*range(0, n - WINDOW, WINDOW // 2), n - WINDOW]
+
+
 @lru_cache(maxsize=2)
 def gains(model: Model) -> SegmentCache:
     """Gain by word, of windows compressed once for each worker."""
@@ -130,9 +143,11 @@ def gains(model: Model) -> SegmentCache:
             raw = coded.codes(v)
             gain = np.full(len(which), -1.0, np.float32)
             for i in np.flatnonzero(coded.counts >= _LEAST).tolist():
-                lo, n = int(coded.begin[i]) * CODE, int(coded.counts[i]) * CODE
-                window = LEAD + raw[lo : lo + n]
-                gain[i] = (len(ordinary(window)) - len(toxic(window))) / n
+                lo, n = int(coded.begin[i]), int(coded.counts[i])
+                for at in window_starts(n):
+                    size = min(WINDOW, n - at) * CODE
+                    window = LEAD + raw[(lo + at) * CODE : (lo + at) * CODE + size]
+                    gain[i] = max(gain[i], (len(ordinary(window)) - len(toxic(window))) / size)
             out[f"gain{v}"] = gain
         store.append(np.ones(len(which), np.int64), **out)
 
@@ -250,7 +265,11 @@ def sample_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
     usable = usable.withColumn("__h", F.xxhash64("__id"))
     ids = usable.filter("toxic = 1").orderBy("__h", "__id").limit(sample).union(usable.filter("toxic = 0").orderBy("__h", "__id").limit(sample))
     # At most 2 * sample rows of three numbers.
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).filter("text IS NOT NULL").select("__h", "__id", "text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).filter("text IS NOT NULL")
+    size, part = F.length("text"), SAMPLE_CHARS // SAMPLE_SLICES
+    at = lambda i: F.floor((size - part) * i / (SAMPLE_SLICES - 1)).cast("int") + 1
+    slices = F.concat_ws(" ", *[F.substr(F.col("text"), at(i), F.lit(part)) for i in range(SAMPLE_SLICES)])
+    return rows.select("__h", "__id", F.when(size <= SAMPLE_CHARS, F.col("text")).otherwise(slices).alias("text"), "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:

@@ -404,6 +404,74 @@ def test_toxicity_stems_of_ordinary_parts():
     assert sum(c and not y for c, (_, _, y) in zip(caught, rows[600:], strict=True)) <= 3
 
 
+def brute_score(text, model):
+    """The score of a text from its bytes, word by word, with integers of Python."""
+    import zstandard
+
+    top, k = 2**64, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % top
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % top
+        return x ^ (x >> 31)
+
+    def grams(word):
+        raw, out = b" " + word + b" ", []
+        for i in range(len(raw) - 3):
+            acc = 0
+            for c in raw[i : i + 4]:
+                acc = (acc * k + c) % top
+            out.append(mix(acc))
+        return out
+
+    def packed(window, dictionary):
+        p = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=64, dict_size=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d = zstandard.ZstdCompressionDict(dictionary)
+        d.precompute_compress(compression_params=zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=64, dict_size=len(dictionary), format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False))
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(toxicity.LEAD + window))
+
+    words = [w.encode() for w in re.findall("[0-9a-z\u0080-\U0010ffff]+", (text or "").lower())]
+    x = []
+    for view in range(toxicity.VIEWS):
+        gain = []
+        for w in words:
+            g = grams(w)
+            if view:
+                for i in range(1, min(toxicity.ANCHOR, len(g))):
+                    g[i] = mix((g[i - 1] * k + g[i]) % top)
+            best = -1.0
+            if len(g) >= 3:
+                for at in toxicity.window_starts(len(g)):
+                    window = b"".join(c.to_bytes(8, "little")[:3] for c in g[at : at + toxicity.WINDOW])
+                    best = max(best, np.float32((packed(window, model.ordinary[view]) - packed(window, model.toxic[view])) / len(window)))
+            gain.append(np.float32(best))
+        x.append(max([0.0, *map(float, gain)]))
+        for mark in toxicity.MARKS:
+            passed = sum(v > mark for v in gain)
+            x += [np.log1p(passed), np.log1p(100 * passed / max(1, len(words)))]
+    x.append(np.log1p(len(words)) / 10)
+    z = model.weights[0] + sum(a * b for a, b in zip(x, model.weights[1:], strict=True))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_toxicity_scores_recomputed(spark):
+    rows = labelled(240, 3)
+    model = toxicity.train([t for _, t, _ in rows[:200]], [y for _, _, y in rows[:200]])
+    texts = [t for _, t, _ in rows[200:]] + [None, "", "a b", "Grobnik ÉTÉ" + "snarfle" * 40, "日本" * 60, " \n "]
+    got = toxicity.score(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]), model).collect()
+    for r in got:
+        assert abs(r.score - brute_score(texts[r.doc_id], model)) < 1e-6, texts[r.doc_id]
+    assert sum(r.predicted for r in got) >= 8
+
+
+def test_toxicity_sample_is_bounded(spark):
+    long = " ".join(f"w{i}" for i in range(40_000))
+    docs = documents(spark, [(1, long, "s"), (3, "short", "s")])
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    got = {r.toxic: r.text for r in toxicity.sample_rows(docs, labels).collect()}
+    assert got[0] == "short" and toxicity.SAMPLE_CHARS <= len(got[1]) < toxicity.SAMPLE_CHARS + 10 and got[1].startswith("w0 w1") and got[1].endswith("w39999")
+
+
 def test_toxicity_degenerate(spark):
     docs = documents(spark, ODD)
     empty = spark.createDataFrame([], "doc_id long, toxic int")
