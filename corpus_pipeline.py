@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written to the
 shared folder and read again as the next stage's docs. All stages but the last keep the
 columns of documents.
+
+Defined cases: documents with null or empty texts pass all filters (equal ones as one) and are
+taken 0 times by the mix; rows that repeat an id with other texts are documents of their own;
+a null source is a source; a null doc_id is never preferred to another; extra columns of any
+name are kept by all stages but the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shoebox.llm import exact_dedup, minhash, mixing, piece_sampling, toxicity
 from shoebox.llm.lattice import model_path
-from shoebox.llm.store import materialize
+from shoebox.llm.store import materialize, scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +56,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # A stage's own tables go once its documents are written.
+        with scope(spark) as keep:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -34,9 +34,9 @@ WINDOW, TAIL = 2 << 20, 512 << 10
 
 
 # JPEG.
-def is_jpeg(data: bytes) -> bool:
-    """B1."""
-    return len(data) > 4 and data[0] == 0xFF and data[1] == SOI
+def is_jpeg(content: Column) -> Column:
+    """B1, in the JVM."""
+    return (F.octet_length(content) > 4) & (F.hex(F.substring(content, 1, 2)) == f"FF{SOI:02X}")
 
 
 def header_segments(data: bytes) -> tuple[list[tuple[int, int, bytes]], int]:
@@ -214,6 +214,11 @@ def mpf_plan(data: bytes) -> tuple[int, list[tuple[int, int]]] | None:
 
 
 # PNG.
+def chunk_crc(kind: Column, body: Column) -> Column:
+    """B32, in the JVM: checksum of a chunk's type and body."""
+    return F.crc32(F.concat(kind, body))
+
+
 def depth_reason(depth: int, colour: int) -> str | None:
     """B27."""
     if depth not in (8, 16):
@@ -423,7 +428,8 @@ def colour_info(data: bytes) -> tuple[int, int, int]:
 
 # Columns.
 def column(f: Callable[[bytes], object], kind: str | T.DataType) -> Callable[[Column], Column]:
-    """``f`` over a binary column, in Arrow batches; null stays null."""
+    """``f`` over a binary column, in Arrow batches, whose bytes ``spark.sql.execution.arrow.maxBytesPerBatch`` bounds (64 MB
+    unless set otherwise); null stays null."""
     struct_type = isinstance(kind, str) and kind.startswith("struct")
 
     def batch(s: pd.Series) -> pd.Series:

@@ -11,8 +11,9 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import Column
 
-from .containers import APP15, PNG_ANIMATED, PNG_KNOWN, PNG_MOST_BYTES, PNG_SIGNATURE, depth_reason, header_segments
+from .containers import APP15, PNG_ANIMATED, PNG_KNOWN, PNG_MOST_BYTES, PNG_SIGNATURE, assemble, column, depth_reason, header_segments
 
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 XMP_KEYWORD = b"XML:com.adobe.xmp"
@@ -193,3 +194,35 @@ def read_archive(jpeg: bytes, prefix: bytes = ARCHIVE) -> bytes | None:
     parts = [p[len(prefix) :] for _, m, p in header_segments(jpeg)[0] if m == APP15 and p.startswith(prefix)]
     heads = [struct.unpack_from(">II", p) for p in parts if len(p) >= 8]
     return b"".join(p[8:] for p in parts) if parts and heads == [(i, len(parts)) for i in range(len(parts))] else None
+
+
+def packet(data: bytes) -> str | None:
+    """B30 of a file: its first XMP packet; null without one, or in a file that isn't sound."""
+    try:
+        return next((t for n, b, _ in parse(data).chunks if (t := xmp_text(n, b)) is not None), None)
+    except Refused:
+        return None
+
+
+def archived(data: bytes) -> tuple[int, int, bool] | None:
+    """A18, B31 of a file: (bytes of metadata, bytes of the archive as it reads back, whether all is there)."""
+    try:
+        png = parse(data)
+    except Refused:
+        return None
+    back = read_archive(assemble(archive_segments(png), b"\xff\xd9"))
+    whole = PNG_SIGNATURE + b"".join(w for n, _, w in png.chunks if n != "IDAT")
+    return png.metadata_bytes(), len(back or b""), back == whole
+
+
+def _facts(data: bytes) -> tuple:
+    try:
+        png = parse(data)
+        return None, png.width, png.height, int(rows(png).sum(dtype=np.int64))
+    except Refused as e:
+        return str(e), None, None, None
+
+
+def facts_column(c: Column) -> Column:
+    """Struct (reason, width, height, pixels), pixels being the sum of their bytes."""
+    return column(_facts, "struct<reason:string,width:int,height:int,pixels:long>")(c)

@@ -90,9 +90,9 @@ def from_cache(cache: DataFrame) -> DataFrame:
     return cache.withColumns({"kind": M.parse_kind(F.col("kind")), "format": M.parse_format(F.col("format"))})
 
 
-def needs_full_scan(last_scan_sec: int, cached_version: int, version: int = schemas.CACHE_LOGIC_VERSION) -> bool:
-    """Never scanned, or scanned by another logic, newer ones included."""
-    return last_scan_sec <= 0 or cached_version != version
+def needs_full_scan(last_scan_sec, cached_version, version: int = schemas.CACHE_LOGIC_VERSION):
+    """P12, of numbers or columns: never scanned, or scanned by another logic, newer ones included."""
+    return (last_scan_sec <= 0) | (cached_version != version)
 
 
 def diff(cached: DataFrame, live: DataFrame) -> DataFrame:

@@ -38,6 +38,18 @@ def restorable(status: Column, backup: Column) -> Column:
     return (status == "DONE") & backup.isNotNull()
 
 
+def restorable_counts(ledger: DataFrame, now_ms: int) -> DataFrame:
+    """One row; the recycle bin's count leaves out what is past its deadline."""
+    can = restorable(F.col("status"), F.col("backup_rel_path"))
+    return ledger.agg(F.count_if(can).alias("settings_count"), F.count_if(can & (F.col("restore_deadline_ms") > now_ms)).alias("recycle_count"))
+
+
+def exclusion_counts(albums: DataFrame, settings: DataFrame) -> DataFrame:
+    """One row: hidden names in the settings' text, and all albums (bucket_name)."""
+    hidden = settings.select(F.size(F.array_distinct(excluded_set(F.col("excluded_albums")))).alias("hidden"))
+    return albums.agg(F.count_distinct("bucket_name").alias("albums")).crossJoin(F.broadcast(hidden.limit(1)))  # one row each
+
+
 def mark_failed(ledger: DataFrame, ids: DataFrame) -> DataFrame:
     """K8."""
     hit = ledger.join(ids.select("id").distinct().withColumn("__hit", F.lit(True)), "id", "left")

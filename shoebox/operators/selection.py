@@ -60,6 +60,11 @@ def all_selected(shown: Column, picked: Column) -> Column:
     return (F.size(shown) > 0) & F.forall(shown, lambda x: F.array_contains(picked, x))
 
 
+def quantifiers(rows: DataFrame, by: str, condition: Column) -> DataFrame:
+    """A16 of groups: (by, every, some); a group has a row at least, so that of nothing there is none."""
+    return rows.groupBy(by).agg(F.bool_and(condition).alias("every"), F.bool_or(condition).alias("some"))
+
+
 def tier_of(kind: Column, role: Column, settings: dict[str, str]) -> Column:
     """The item's tier by kind; a live photo's own video has a tier of its own."""
     video = F.when(kind == "VIDEO", settings["video_tier"]).otherwise(settings["live_video_tier"])
@@ -67,14 +72,14 @@ def tier_of(kind: Column, role: Column, settings: dict[str, str]) -> Column:
     return F.when(role == "video", video).otherwise(image)
 
 
-def parallelism(batch: DataFrame, fast: bool, free_bytes: int | None, cores: int) -> DataFrame:
-    """One at a time for a batch with a large or unmeasured PNG or HEIC; else by free memory."""
+def parallelism(batch: DataFrame, fast: bool, free_bytes: int | None, cores: int, by: str | None = None) -> DataFrame:
+    """One at a time for a batch with a large or unmeasured PNG or HEIC; else by free memory. ``by`` tells batches apart."""
     area = F.col("width").cast("long") * F.col("height")
     unknown = (F.col("width") <= 0) | (F.col("height") <= 0)
     large = ((F.col("format") == "PNG") & (unknown | (area > 16_000_000))) | ((F.col("format") == "HEIC") & (unknown | (area > 20_000_000)))
     by_memory = 2 if free_bytes is None else min(cores, 3 if free_bytes > 2 << 30 else 2 if free_bytes > 1 << 30 else 1)
     n = F.when(F.lit(not fast) | F.coalesce(F.bool_or(large), F.lit(False)), 1).otherwise(by_memory)
-    return batch.agg(n.cast("int").alias("parallelism"))
+    return batch.groupBy(*[by] if by else []).agg(n.cast("int").alias("parallelism"))
 
 
 def message_lines(text: Column) -> Column:

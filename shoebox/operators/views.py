@@ -7,6 +7,7 @@ Joins on paths are equi joins; the one on "path or URI" is two of them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -45,9 +46,11 @@ class Library:
 
     ``items``: media rows. ``ledger``, ``journal``: their tables. ``settings``: one row.
     ``files`` (path, length): where known, lengths of files that only the journal names.
+    ``store`` (name, DataFrame -> the same rows, stored): what several views need is then derived once.
     """
 
-    def __init__(self, items: DataFrame, ledger: DataFrame, journal: DataFrame, settings: DataFrame, files: DataFrame | None = None):
+    def __init__(self, items: DataFrame, ledger: DataFrame, journal: DataFrame, settings: DataFrame, files: DataFrame | None = None, store: Callable[[str, DataFrame], DataFrame] | None = None):
+        self._store = store or (lambda name, df: df)
         self.items = items.withColumn("ord", item_order())
         self.ledger, self.journal, self.files = ledger, journal.withColumn("reason", recovery_reason()), files
         # One row by definition of the table.
@@ -61,7 +64,12 @@ class Library:
     def by_path(self) -> DataFrame:
         """The last item of each path."""
         cols = [c for c in self.items.columns if c != "data_path"]
-        return self.items.groupBy("data_path").agg(F.max_by(F.struct(*cols), "ord").alias("item"))
+        return self._store("by_path", self.items.groupBy("data_path").agg(F.max_by(F.struct(*cols), "ord").alias("item")))
+
+    @cached_property
+    def keys(self) -> DataFrame:
+        """The few columns of items by which they meet the journal and the ledger."""
+        return self._store("keys", self.items.select("key", "data_path", "uri", "ord", F.col("xmp_compress_id").isNotNull().alias("marked")))
 
     @cached_property
     def matches(self) -> DataFrame:
@@ -70,8 +78,8 @@ class Library:
         paths = self.journal.select(F.explode(F.array_distinct(F.array_compact(F.array("path", "converted_path")))).alias("data_path"), entry)
         uris = self.journal.filter("converted_path IS NOT NULL").select(F.col("media_uri").alias("uri"), entry)
         cols = ["key", "data_path", "ord", "entry"]
-        both = self.items.join(paths, "data_path").select(*cols).union(self.items.join(uris, "uri").select(*cols))
-        return both.groupBy("key", "data_path", "ord").agg(F.min("entry").alias("entry"))
+        both = self.keys.join(paths, "data_path").select(*cols).union(self.keys.join(uris, "uri").select(*cols))
+        return self._store("matches", both.groupBy("key", "data_path", "ord").agg(F.min("entry").alias("entry")))
 
     @cached_property
     def pending(self) -> DataFrame:
@@ -89,14 +97,14 @@ class Library:
         i = F.col("item")
         same = (i["id"] == F.col("media_store_id")) & (i["volume_name"] == F.col("volume_name")) & (i["size"] == F.col("original_size"))
         same = same & (i["date_modified_sec"] == F.col("original_date_modified_sec")) & i["xmp_compress_id"].isNull()
-        return rows.filter((F.col("status") != "SKIPPED") | F.coalesce(same, F.lit(False)))
+        return self._store("active", rows.filter((F.col("status") != "SKIPPED") | F.coalesce(same, F.lit(False))))
 
     @cached_property
     def available(self) -> DataFrame:
         """Items to do, with the reason that holds now."""
         named = journal_paths(self.journal).select(F.col("path").alias("data_path"))
         held = self.pending.select("data_path").union(named).distinct()
-        marked = self.items.filter("xmp_compress_id IS NOT NULL").select("data_path").distinct().join(held, "data_path", "left_anti")
+        marked = self.keys.filter("marked").select("data_path").distinct().join(held, "data_path", "left_anti")
         done = self.active.select("data_path").union(marked).distinct()
         rows = self._shown(self.items.join(done, "data_path", "left_anti")).join(self.pending, "data_path", "left")
         rows = rows.crossJoin(F.broadcast(self.settings.select("compress_png")))  # one row
@@ -108,8 +116,8 @@ class Library:
     def missing(self) -> DataFrame:
         """Entries that no item answers to, as rows of their own."""
         known = self.matches.select(F.col("entry.pos").alias("pos"))
-        by_path = self.journal.select("pos", F.explode(F.array_compact(F.array("path", "converted_path"))).alias("data_path")).join(self.items.select("data_path"), "data_path", "left_semi")
-        by_uri = self.journal.filter("converted_path IS NOT NULL").select("pos", F.col("media_uri").alias("uri")).join(self.items.select("uri"), "uri", "left_semi")
+        by_path = self.journal.select("pos", F.explode(F.array_compact(F.array("path", "converted_path"))).alias("data_path")).join(self.keys.select("data_path"), "data_path", "left_semi")
+        by_uri = self.journal.filter("converted_path IS NOT NULL").select("pos", F.col("media_uri").alias("uri")).join(self.keys.select("uri"), "uri", "left_semi")
         rows = self.journal.join(known.union(by_path.select("pos")).union(by_uri.select("pos")).distinct(), "pos", "left_anti")
         if self.files is not None:
             rows = rows.join(self.files.select("path", "length"), "path", "left")
@@ -279,6 +287,17 @@ def ranked(albums: DataFrame, first: DataFrame | None = None) -> DataFrame:
     return out.drop("first") if first is not None else out
 
 
+def shown_albums(albums: DataFrame) -> DataFrame:
+    """Pending albums with something to do or to recover."""
+    return albums.filter("compressible_count > 0 OR pending_count > 0")
+
+
+def list_headers(albums: DataFrame) -> DataFrame:
+    """One row of sums over the albums that are shown."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return shown_albums(albums).agg(F.count("*").alias("albums"), total("count").alias("items"), total("bytes").alias("bytes"), total("compressible_count").alias("compressible"))
+
+
 def first_seen(items: DataFrame) -> DataFrame:
     return items.groupBy("bucket_name").agg(F.min(item_order()).alias("first"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fmt
 from ..functions import media as M
 from ..operators import catalog, ledger, lifecycle, selection, views
+from ..sources import files
 from ..sources.driver import NOW_MS, Driver
 from .oracle import sql
 
@@ -172,19 +173,16 @@ query(
 _A5 = "SELECT k.kind, coalesce(sum(bytes), 0)::BIGINT AS bytes FROM (VALUES ('PHOTO'), ('LIVE_PHOTO'), ('VIDEO')) k(kind) LEFT JOIN (SELECT kind, size AS bytes FROM todo UNION ALL SELECT kind, coalesce(item_size, compressed_size) FROM done) b ON b.kind = k.kind GROUP BY 1"
 query("a5_kind_bytes", _A5)(lambda d: d.library().kind_bytes())
 query("a7_list_headers", f"SELECT count(*) AS albums, sum(count)::BIGINT AS items, sum(bytes)::BIGINT AS bytes, sum(compressible_count)::BIGINT AS compressible FROM ({_A1}) WHERE compressible_count > 0 OR pending_count > 0")(
-    lambda d: d.library().todo_albums().filter("compressible_count > 0 OR pending_count > 0").agg(F.count("*").alias("albums"), F.sum("count").alias("items"), F.sum("bytes").alias("bytes"), F.sum("compressible_count").alias("compressible"))
+    lambda d: views.list_headers(d.library().todo_albums())
 )
 query("a8_kind_shares", f"SELECT kind, bytes, CAST(floor(CAST(CAST(CAST(bytes AS FLOAT) / CAST(sum(bytes) OVER () AS FLOAT) AS FLOAT) * CAST(100 AS FLOAT) AS DOUBLE) + 0.5) AS INT) AS percent FROM ({_A5})")(lambda d: d.library().kind_shares())
 query(
     "a9_ratios",
     "SELECT id, CAST(CASE WHEN original_size + compressed_size <= 0 THEN 0.5 ELSE greatest(least(CAST(CAST(original_size AS DOUBLE) / CAST(original_size + compressed_size AS DOUBLE) AS FLOAT), CAST(0.9999 AS FLOAT)), CAST(0.0001 AS FLOAT)) END AS FLOAT) AS l FROM ledger",
 )(lambda d: d.ledger().select("id", fmt.comparison_ratios(F.col("original_size").cast("double"), F.col("compressed_size").cast("double"))[0].alias("l")))
-query("a13_recycle_size", "SELECT coalesce(sum(length), 0)::BIGINT AS bytes FROM files WHERE starts_with(path, 'b/')")(lambda d: d.files().filter(F.col("path").startswith("b/")).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")))
+query("a13_recycle_size", "SELECT coalesce(sum(length), 0)::BIGINT AS bytes FROM files WHERE starts_with(path, 'b/')")(lambda d: files.total_size(d.files().filter(F.col("path").startswith("b/"))))
 query("a14_a15_restorable_counts", f"SELECT count(*) FILTER (status = 'DONE' AND backup_rel_path IS NOT NULL) AS settings_count, count(*) FILTER (status = 'DONE' AND backup_rel_path IS NOT NULL AND restore_deadline_ms > {NOW_MS}) AS recycle_count FROM ledger")(
-    lambda d: d.ledger().agg(
-        F.count_if(ledger.restorable(F.col("status"), F.col("backup_rel_path"))).alias("settings_count"),
-        F.count_if(ledger.restorable(F.col("status"), F.col("backup_rel_path")) & (F.col("restore_deadline_ms") > NOW_MS)).alias("recycle_count"),
-    )
+    lambda d: ledger.restorable_counts(d.ledger(), NOW_MS)
 )
 query("o3_covers", "SELECT bucket_name, row_number() OVER (PARTITION BY bucket_name ORDER BY is_video, date_added_sec DESC, id) AS rank, id FROM available QUALIFY rank <= 4")(lambda d: d.library().covers())
 query("p14_expired_filter", "SELECT id FROM done WHERE NOT restorable AND NOT skipped")(lambda d: selection.done_filter(d.library().done, "expired").select("id"))
@@ -211,7 +209,7 @@ query("f20_f22_estimates", "SELECT id, CAST(floor(size * 0.37::DOUBLE) AS BIGINT
 query("f21_quality", "SELECT id, CASE format WHEN 'JPEG' THEN CASE id % 3 WHEN 0 THEN 92 WHEN 1 THEN 85 ELSE 76 END WHEN 'HEIC' THEN CASE id % 3 WHEN 0 THEN 75 WHEN 1 THEN 55 ELSE 35 END END AS quality FROM media")(
     lambda d: d.media().select("id", fmt.quality(F.col("format"), F.when(F.col("id") % 3 == 0, "HIGH").when(F.col("id") % 3 == 1, "BALANCED").otherwise("COMPACT")).alias("quality"))
 )
-query("f27_sha256", "SELECT doc_id, sha256(text) AS sha FROM documents")(lambda d: d.table("documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
+query("f27_sha256", "SELECT doc_id, sha256(text) AS sha FROM documents")(lambda d: files.with_digest(d.table("documents").select("doc_id", F.col("text").cast("binary").alias("content"))).select("doc_id", "sha"))
 query("j12_orphan_backups", "SELECT path FROM files WHERE (starts_with(path, 'b/') OR starts_with(path, 'orphan/')) AND path NOT IN (SELECT backup_rel_path FROM ledger WHERE backup_rel_path IS NOT NULL) AND path NOT IN (SELECT backup FROM journal) AND path NOT IN (SELECT safety FROM journal WHERE safety IS NOT NULL)")(
     lambda d: d.library().orphans(d.files().filter("path LIKE 'b/%' OR path LIKE 'orphan/%'")).select("path")
 )
@@ -229,12 +227,13 @@ query("j11_level2_selection", "SELECT id FROM todo WHERE bucket_name = 'album_2'
 query("u4_toggle", "SELECT id, CASE WHEN bucket_name IN ('album_1', 'album_2') THEN list_filter(['album_1', 'album_2'], lambda x: x <> bucket_name) ELSE list_sort(list_append(['album_1', 'album_2'], bucket_name)) END AS picked FROM media")(
     lambda d: d.media().select("id", selection.toggle(F.array(F.lit("album_1"), F.lit("album_2")), F.col("bucket_name")).alias("picked"))
 )
-query("a16_quantifiers", "SELECT bucket_name, bool_and(id % 2 = 0) AS every, bool_or(id % 2 = 0) AS some FROM media GROUP BY 1")(lambda d: d.media().groupBy("bucket_name").agg(F.bool_and(F.col("id") % 2 == 0).alias("every"), F.bool_or(F.col("id") % 2 == 0).alias("some")))
+query("a16_quantifiers", "SELECT bucket_name, bool_and(id % 2 = 0) AS every, bool_or(id % 2 = 0) AS some FROM media GROUP BY 1")(lambda d: selection.quantifiers(d.media(), "bucket_name", F.col("id") % 2 == 0))
 query("p28_tiers", "SELECT id, CASE kind WHEN 'VIDEO' THEN 'HIGH' WHEN 'LIVE_PHOTO' THEN 'COMPACT' ELSE 'BALANCED' END AS image_tier, CASE kind WHEN 'VIDEO' THEN 'HIGH' ELSE 'BALANCED' END AS video_tier FROM media")(
     lambda d: d.media().select("id", selection.tier_of(F.col("kind"), F.lit("image"), _TIERS).alias("image_tier"), selection.tier_of(F.col("kind"), F.lit("video"), _TIERS).alias("video_tier"))
 )
-query("p30_parallelism", "SELECT CASE WHEN bool_or((format = 'PNG' AND (width <= 0 OR height <= 0 OR width::BIGINT * height > 16000000)) OR (format = 'HEIC' AND (width <= 0 OR height <= 0 OR width::BIGINT * height > 20000000))) THEN 1 ELSE 3 END AS parallelism FROM media WHERE id % 50 = 7")(
-    lambda d: selection.parallelism(d.media().filter("id % 50 = 7"), True, 3 << 30, 8)
+query("p30_parallelism", "SELECT CASE WHEN bool_or((format = 'PNG' AND (width <= 0 OR height <= 0 OR width::BIGINT * height > 16000000)) OR (format = 'HEIC' AND (width <= 0 OR height <= 0 OR width::BIGINT * height > 20000000))) THEN 1 ELSE 3 END AS parallelism, bucket_name FROM media GROUP BY bucket_name")(
+    # An album is a batch.
+    lambda d: selection.parallelism(d.media(), True, 3 << 30, 8, by="bucket_name")
 )
 
 # Lifecycle.

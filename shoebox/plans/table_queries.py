@@ -43,6 +43,20 @@ def _(d: Driver) -> DataFrame:
     return table.read().select("id", "status", "backup_rel_path")
 
 
+@query(
+    "st6_flush",
+    "SELECT id, CASE WHEN hit AND status = 'DONE' THEN 'PURGED' ELSE status END AS status, CASE WHEN NOT hit THEN backup_rel_path END AS backup_rel_path FROM (SELECT *, media_store_id % 5 = 1 AND backup_rel_path IS NOT NULL AS hit FROM ledger)",
+)
+def _(d: Driver) -> DataFrame:
+    table, at = Table(d.spark, d.workspace(), schemas.LEDGER, "ledger"), d.workspace()
+    table.write(d.ledger())
+    ids = d.ledger().filter("media_store_id % 5 = 1").select("id")
+    # Four files: on a cluster a flush holds far more ids than on a phone.
+    refresh.deal_out(ids.coalesce(1), f"{at}/ids", most=-(-ids.count() // 4))
+    refresh.flush_gone(d.spark, f"{at}/ids", f"{at}/checkpoint", table).awaitTermination()
+    return table.read().select("id", "status", "backup_rel_path")
+
+
 @query("st4_scan_mark", "SELECT 1 AS id, 77 AS last_scan_sec, 4 AS cache_logic_version, true AS compress_png")
 def _(d: Driver) -> DataFrame:
     table = Table(d.spark, d.workspace(), schemas.SETTINGS, "settings")

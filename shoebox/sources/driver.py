@@ -90,8 +90,13 @@ FROM {ledger}
 CACHE_CHANGES = {"data_path": "CASE WHEN id % 29 = 0 THEN concat(data_path, '.old') ELSE data_path END", "date_modified_sec": "CASE WHEN id % 17 = 0 THEN date_modified_sec - 5 ELSE date_modified_sec END"}
 
 
+#: Stored relations of a session's directories: what the views of one query need is there for the next one's.
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Driver:
-    """Relations over the tables of one directory; nothing is read before it is used."""
+    """Relations over the tables of one directory, which must not change while a session uses them; nothing
+    is read before it is used."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -131,17 +136,26 @@ class Driver:
         return self.spark.createDataFrame([row], schemas.SETTINGS)
 
     def workspace(self) -> str:
-        """A new folder in the cluster's shared one; where none is set, in this machine's."""
-        root = self.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shoebox-")
+        """A new folder in the cluster's shared one; where none is set, in this machine's, if Spark is local."""
+        root = self.spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not self.spark.conf.get("spark.master", "local").startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="shoebox-")
         return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
 
+    def stored(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` as a written table, once for each session, directory and name."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _STORED:
+            at = self.workspace()
+            df.write.parquet(at)
+            _STORED[key] = self.spark.read.schema(df.schema).parquet(at)
+        return _STORED[key]
+
     def library(self, **settings):
         """Views over stored tables: each derived relation is written once and read as often as the views need."""
         from ..operators.views import Library
 
-        at, stored = self.workspace(), []
-        for name in ("media", "ledger", "journal"):
-            df = getattr(self, name)()
-            df.write.parquet(f"{at}/{name}")
-            stored.append(self.spark.read.schema(df.schema).parquet(f"{at}/{name}"))
-        return Library(*stored, self.settings(**settings))
+        media, ledger, journal = (self.stored(name, getattr(self, name)()) for name in ("media", "ledger", "journal"))
+        return Library(media, ledger, journal, self.settings(**settings), store=self.stored)

@@ -41,10 +41,10 @@ def refresh(spark: SparkSession, path: str, checkpoint: str, view: Table, build:
         version = rows.agg(F.max("version")).first()[0]
         if version is None:
             return
-        shown = view.read().agg(F.max("version")).first()[0]
-        # ST3: a result whose inputs have moved on is dropped.
-        if shown is None or version >= shown:
-            view.write(build(rows.drop("version")).withColumn("version", F.lit(version)))
+        shown = view.tag()
+        # ST3: a result whose inputs have moved on is dropped. The version stands beside the pointer, as a view may be empty.
+        if not shown or version >= int(shown):
+            view.write(build(rows.drop("version")).withColumn("version", F.lit(version)), tag=str(version))
 
     stream = ledger_stream(spark, path)
     return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -58,6 +58,26 @@ def expire(table: Table, now_ms: int) -> DataFrame:
     return gone
 
 
+#: ST6: ids that are marked at a time.
+FLUSH = 64
+
+
+def flush_gone(spark: SparkSession, path: str, checkpoint: str, table: Table) -> StreamingQuery:
+    """ST6: mark the backups of the ids (id) that arrive as Parquet below ``path`` as gone, a file at a time, so that what
+    is done so far is kept when the run is cut short; stops when all files are read. See :func:`deal_out`."""
+
+    def mark(batch: DataFrame, _: int) -> None:
+        table.write(L.mark_backups_gone(table.read(), batch).drop("touched"))
+
+    stream = spark.readStream.schema("id string").option("maxFilesPerTrigger", 1).parquet(path)
+    return stream.writeStream.foreachBatch(mark).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def deal_out(ids: DataFrame, path: str, most: int = FLUSH) -> None:
+    """Write ``ids`` in files of at most ``most`` rows."""
+    ids.select("id").write.option("maxRecordsPerFile", most).mode("append").parquet(path)
+
+
 class ScanMark:
     """ST4: the time of the last scan, moved only after its results are stored."""
 

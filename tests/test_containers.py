@@ -28,7 +28,7 @@ def test_jpeg_walk_and_end():
     segments, tail = C.header_segments(data)
     assert [C.segment_kind(m, p) for _, m, p in segments] == ["EXIF", "XMP"] and data[tail:].startswith(b"\xff\xda")
     assert C.xmp_text(data) == "<x/>" and C.image_end(data) == len(data) - 4
-    assert C.image_end(data[:-8]) is None and C.image_end(b"\xff\xd8\xff") is None and not C.is_jpeg(b"\xff\xd8\xff\xe0")
+    assert C.image_end(data[:-8]) is None and C.image_end(b"\xff\xd8\xff") is None and C.image_end(b"\xff\xd8\xff\xe0") is None
     progressive = b"\xff\xd8" + SCAN[:-2] + seg(0xC4, b"t") + SCAN
     assert C.image_end(progressive) == len(progressive)
 
@@ -156,7 +156,9 @@ def test_xmp(spark):
     for text in (PACKET, None, "  ", "<no description/>", '<rdf:Description rdf:about="x"/>'):
         out = get(lambda t: X.inject_marker(t, marker), text)
         assert tuple(get(X.read_marker, out)) == ("id", "1.0", 9)
-        assert out == get(lambda t: X.inject_marker(t, marker), out) or "xmptk" in out
+        assert out == get(lambda t: X.inject_marker(t, marker), out)
     assert get(X.strip_marker, get(lambda t: X.inject_marker(t, marker))) == PACKET
     assert get(X.read_marker, get(X.remove_marker, get(lambda t: X.inject_marker(t, marker), None))) is None
+    foreign = PACKET.replace("</rdf:RDF>", '<rdf:Description rdf:about="" xmlns:shoebox="u"><shoebox:itemId>e</shoebox:itemId> <shoebox:writtenMs>7</shoebox:writtenMs></rdf:Description></rdf:RDF>')
+    assert tuple(get(X.read_marker, foreign)) == ("e", "", 7) and get(X.remove_marker, foreign) == PACKET and get(X.remove_marker) == PACKET
     assert get(X.read_marker) is None and get(lambda t: X.verify_items(X.container_items(t))) is None and get(lambda t: X.verify_items(X.container_items(t)), "x") == "NO_ITEMS"
