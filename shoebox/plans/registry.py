@@ -129,7 +129,7 @@ query("k12_settings_update", "SELECT 1 AS id, true AS compress_png, 77 AS last_s
     lambda d: ledger.update_settings(d.settings(), last_scan_sec=77, cache_logic_version=4).select("id", "compress_png", "last_scan_sec", "cache_logic_version")
 )
 query("k14_exclusions", "SELECT id, CASE WHEN id % 2 = 0 THEN 'album_11\nalbum_3' || CASE WHEN bucket_name IN ('album_11', 'album_3') THEN '' ELSE '' END ELSE 'album_11\nalbum_3\nalbum_7' END AS text FROM media WHERE bucket_name = 'album_7'")(
-    lambda d: d.media().filter("bucket_name = 'album_7'").crossJoin(d.settings().select("excluded_albums")).select("id", ledger.set_album_shown(F.col("excluded_albums"), F.col("bucket_name"), F.col("id") % 2 == 0).alias("text"))
+    lambda d: d.media().filter("bucket_name = 'album_7'").crossJoin(F.broadcast(d.settings().select("excluded_albums"))).select("id", ledger.set_album_shown(F.col("excluded_albums"), F.col("bucket_name"), F.col("id") % 2 == 0).alias("text"))
 )
 query("p8_p9_ledger_columns", "SELECT id, status = 'DONE' AND backup_rel_path IS NOT NULL AS restorable, CASE WHEN status = 'SKIPPED' THEN 0 ELSE original_size - compressed_size END AS saved FROM ledger")(
     lambda d: d.ledger().select("id", ledger.restorable(F.col("status"), F.col("backup_rel_path")).alias("restorable"), ledger.saved_bytes(F.col("status"), F.col("original_size"), F.col("compressed_size")).alias("saved"))

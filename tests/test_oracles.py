@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from shoebox.plans import binary_queries, file_queries, registry, table_queries, text_queries  # noqa: F401
+from shoebox.plans import binary_queries, file_queries, heif_queries, registry, table_queries, text_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
