@@ -180,8 +180,8 @@ def _fingerprint(hashed: np.ndarray) -> np.ndarray:
 class ShardWriter:
     """Ids stream to the file; tables of the documents follow at the end."""
 
-    def __init__(self, uri: str, kind: np.dtype):
-        self.uri, self.kind, self.out = uri, kind, open_write(uri)
+    def __init__(self, uri: str, kind: np.dtype, most_docs: int = SHARD_DOCS):
+        self.uri, self.kind, self.out, self.most_docs = uri, kind, open_write(uri), most_docs
         self.keys: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.nulls = self.ids = 0
@@ -196,7 +196,7 @@ class ShardWriter:
 
     @property
     def full(self) -> bool:
-        return self.ids * self.kind.itemsize >= SHARD_BYTES or sum(map(len, self.counts)) >= SHARD_DOCS
+        return self.ids * self.kind.itemsize >= SHARD_BYTES or sum(map(len, self.counts)) >= self.most_docs
 
     def close(self) -> tuple[str, int, int, int | None, int | None]:
         """(path, documents, ids, smallest key, largest key)."""
@@ -316,7 +316,7 @@ MANIFEST = "path string, shard long, part long, n_docs long, n_ids long, first_k
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def _writer(root: str, path: str):
+def _writer(root: str, path: str, most_docs: int, chunk: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -329,10 +329,10 @@ def _writer(root: str, path: str):
         for b in batches:
             keys = b.column(0)
             data, offsets = text_bytes(b.column(1))
-            for lo, hi in chunks(offsets, CHUNK):
+            for lo, hi in chunks(offsets, chunk):
                 part = offsets[lo : hi + 1]
                 ids, counts = encode(data[part[0] : part[-1]], part - part[0], path)
-                out = out or ShardWriter(f"{root}/{task_tag()}-{part_no:04d}.ids", ids.dtype)
+                out = out or ShardWriter(f"{root}/{task_tag()}-{part_no:04d}.ids", ids.dtype, most_docs)
                 own = keys.slice(lo, hi - lo)
                 out.add(own.drop_null().to_numpy(), own.null_count, ids, counts)
                 if out.full:
@@ -366,14 +366,14 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard.close()
 
 
-def write_ids(docs: DataFrame, root: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode ``docs`` and write the shards under ``root``; their manifest."""
+def write_ids(docs: DataFrame, root: str, path: str, id_col: str = "doc_id", text_col: str = "text", most_docs: int = SHARD_DOCS, chunk: int = CHUNK) -> DataFrame:
+    """Encode ``docs``, ``chunk`` bytes at a time, and write the shards under ``root``; their manifest."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # The hash lets rows of one key be dealt over several partitions.
     order = (F.col("doc_id").asc_nulls_first(), F.col("text_hash"))
     ordered = rows.withColumn("text_hash", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("text_hash")
-    return materialize(ordered.mapInArrow(lean(_writer(root, path)), MANIFEST), "ids-manifest")
+    return materialize(ordered.mapInArrow(lean(_writer(root, path, most_docs, chunk)), MANIFEST), "ids-manifest")
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:

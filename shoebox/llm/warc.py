@@ -182,7 +182,7 @@ FRAME = "path string, at long, packed long, plain long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def _writer(root: str):
+def _writer(root: str, file_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, w, n = [], None, 0
         for b in batches:
@@ -190,7 +190,7 @@ def _writer(root: str):
                 if w is None:
                     w, n = Writer(f"{root}/{task_tag()}-{n:04d}.warc.zst"), n + 1
                 w.add(urn(page_id, digest), record(page_id, url, html, digest, head, revisit))
-                if w.size >= FILE_BYTES:
+                if w.size >= file_bytes:
                     done.append(w.close())
                     w = None
         if w is not None:
@@ -224,7 +224,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def write_archives(pages: DataFrame, root: str) -> DataFrame:
+def write_archives(pages: DataFrame, root: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as bundles under ``root``; the manifest of the files."""
     bounded_batches(pages)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -243,7 +243,7 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
     heads = sized(heads, "warc-heads")
     revisit = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
     joined = rows.join(heads, "key", "left").select("page_id", "url", "payload", "digest", "head", revisit.alias("revisit"))
-    return materialize(joined.mapInArrow(lean(_writer(root)), MANIFEST), "warc-manifest")
+    return materialize(joined.mapInArrow(lean(_writer(root, file_bytes)), MANIFEST), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:

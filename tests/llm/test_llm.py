@@ -1,6 +1,7 @@
 """The operators of the llm folder against brute force, round trips and odd inputs."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -82,6 +83,36 @@ def test_components(spark):
     assert components.connected_components(edges.limit(0)).count() == 0
 
 
+def test_segment_cache_begins_anew():
+    """Beyond its bound a cache starts again and still gives each segment its own value."""
+    rows = segments.Rows(size=np.int64)
+    cache = segments.SegmentCache(20, lambda s, which: rows.append(np.ones(len(which), np.int64), size=(s.ends - s.starts)[which]), rows)
+    for n in (5, 15, 30, 3, 60):
+        text = " ".join("x" * (i % 50 + 1) + chr(97 + i % 26) for i in range(n)).encode()
+        data = np.frombuffer(text, np.uint8)
+        seg = segments.Segments(data, np.array([0, len(data)]), segments.cut_before_words(data))
+        at = cache.resolve(seg)
+        assert (rows.columns["size"][at] == seg.ends - seg.starts).all()
+
+
+def test_sized_tables(spark):
+    """A table beyond the bound is joined without a broadcast hint, with the same rows."""
+    left, right = spark.range(100).selectExpr("id % 10 AS k", "id"), spark.range(7).selectExpr("id AS k", "id * 2 AS x")
+    plans = []
+    for most in (3, 100):
+        joined = left.join(store.sized(right, "t", most), "k")
+        plans.append("strategy=broadcast" in joined._jdf.queryExecution().analyzed().toString())
+        assert joined.count() == 70
+    assert plans == [False, True]
+
+
+def test_scope_discards(spark):
+    with store.scope(spark) as keep:
+        a, b = store.materialize(spark.range(3).toDF("x"), "t"), store.materialize(spark.range(4).toDF("x"), "t")
+        keep.append(b)
+    assert b.count() == 4 and not os.path.exists(store.table_dir(a).removeprefix("file:").replace("//", "/", 1))
+
+
 # 1. WARC.
 def test_warc(spark):
     pages = [(1, "http://a/ \r\nX", "x" * 200), (2, None, "x" * 200), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (None, "u", "x" * 200), (None, "n", "z" * 300), (7, "u", "é" * 50), (8, "u", "é" * 50), (1, "u", "x" * 200)]
@@ -101,6 +132,12 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0), store.scratch(spark, "t"))).count() == 0
 
 
+def test_warc_files_of_bounded_size(spark):
+    pages = spark.createDataFrame([(i, "u", f"{i} " * 200_000) for i in range(12)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(pages, store.scratch(spark, "t"), file_bytes=100)
+    assert manifest.count() > 3 and warc.read_archives(manifest).select("page_id").distinct().count() == 12
+
+
 def test_warc_frames(tmp_path):
     w = warc.Writer(f"file://{tmp_path}/a.warc.zst")
     bodies = {i: bytes([i]) * 50_000 for i in range(30)}
@@ -699,9 +736,12 @@ def test_shards_of_bounded_size(spark, tmp_path, monkeypatch):
     docs = documents(spark, rows).repartition(3)
     path = token_files.tokenizer_path()
     manifest = token_files.write_ids(docs, store.scratch(spark, "t"), path)
+    small = token_files.write_ids(docs, store.scratch(spark, "t"), path, most_docs=4, chunk=8)
+    assert small.count() > len(rows) / 6 > manifest.count()
     for i in range(7):
-        assert len(token_files.lookup(manifest, i)) == sum(r[0] == i for r in rows)
-    assert token_files.read_ids(manifest).count() == len(rows)
+        want = sorted(token_files.lookup(manifest, i)[k].tolist() for k in range(sum(r[0] == i for r in rows)))
+        assert sorted(x.tolist() for x in token_files.lookup(small, i)) == want
+    assert sorted(map(tuple, token_files.read_ids(manifest).collect()), key=repr) == sorted(map(tuple, token_files.read_ids(small).collect()), key=repr)
 
 
 @settings(max_examples=60, deadline=None)
