@@ -6,9 +6,9 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from shoebox.llm import components, toxicity
+from shoebox.llm import components, store, toxicity
 
-from .test_llm import WORD, brute_components, labelled
+from .test_llm import WORD, brute_components, labelled, shingles
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +54,54 @@ def test_run(spark, corpus):
     rows = corpus_pipeline.run(spark, corpus[0]).collect()
     assert rows and all(r.n_pieces == len(r.ids) for r in rows)
     assert components.UnionFind is not None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_odd_documents(spark, tmp_path):
+    """Repeated and null ids, null and empty texts, clashing columns: each stage against brute force on its own input."""
+    line = " ".join(f"word{i}" for i in range(80))
+    other = " ".join(f"thing{i}" for i in range(80))
+    rows = [
+        *[(3, line, "a"), (3, line, "a"), (5, other, "b"), (5, line + " x", None), (None, line + " y", "a"), (9, other + " z", "b"), (None, other, "b")],
+        *[(20, "alone with its own words", "a"), (20, "alone  with its\town words", "b"), (5, "also of its own kind", "b"), (None, None, None), (None, "", "a"), (7, None, "b"), (8, " \n ", "a")],
+    ]
+    extra = ["passes", "node", "text_hash", "own_hash", "mix_key", "want_id", "of_id", "norm", "stay", "__keep", "kept", "size", "score"]
+    table = [(i, t, "en", s, len(t or ""), *["e"] * len(extra)) for i, t, s in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    spark.createDataFrame(table, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 0, 0), (5, 1, 0), (99, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+        out = stage(spark, docs, str(tmp_path))
+        after = Counter((r.doc_id, r.text) for r in out.collect())
+        assert out.columns == docs.columns and all(r.passes == "e" for r in out.collect())
+        if name == "toxicity":
+            assert after == Counter((i, t) for i, t, _ in before)
+        if name == "exact_dedup":
+            texts = {}
+            for i, t, _ in before:
+                texts.setdefault(norm(t), []).append(i)
+            assert Counter((i, norm(t)) for i, t in after.elements()) == Counter((min((i for i in ids if i is not None), default=None), t) for t, ids in texts.items())
+        if name == "minhash_near_dedup":
+            sets, union = [shingles(t, 5) for _, t, _ in before], components.UnionFind()
+            for x in range(len(before)):
+                for y in range(x + 1):
+                    if x == y or (sets[x] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])):
+                        union.union(x, y)
+            groups = {}
+            for x, (i, t, _) in enumerate(before):
+                groups.setdefault(union.find(x), []).append((i is None, i or 0, i, t))
+            assert after == Counter(min(g, key=lambda r: r[:2])[2:] for g in groups.values()) and max(map(len, groups.values())) > 2
+        if name == "mix_sources":
+            assert all(n <= 3 for n in after.values()) and set(after) <= {(i, t) for i, t, _ in before}
+        docs = store.materialize(out, "odd")
+    final = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(final) == docs.count()
+
+
+def test_empty_documents(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
