@@ -18,7 +18,6 @@ from .binary_queries import box, join, jpegs, mp4s, raw, u
 from .registry import query
 from .text_queries import numbers
 
-_ROOTS: dict[tuple[str, str], str] = {}
 _LENGTH = "CASE WHEN s % 20 = 0 THEN 5000000 ELSE s % 5 * 100000 END + s"
 _S = f", q AS (SELECT s, ({_LENGTH})::BIGINT AS n, 'x/' || s % 3 || '/' || s || '.bin' AS path FROM (SELECT s_suppkey AS s FROM supplier)), w AS (SELECT *, repeat(chr(97 + (s % 26)::INT), n) AS c FROM q) "
 
@@ -32,11 +31,12 @@ def once(d: Driver, df: DataFrame) -> DataFrame:
 
 def media_files(d: Driver) -> tuple[str, DataFrame]:
     """(root, files): a file for each supplier, written once for a session: s, path, at (its whole path)."""
-    root = _ROOTS.setdefault((d.spark.sparkContext.applicationId, d.dir), d.workspace())
     rows = d.table("supplier").select(F.col("s_suppkey").alias("s"))
     rows = rows.withColumn("path", F.concat(F.lit("x/"), (F.col("s") % 3).cast("string"), F.lit("/"), F.col("s").cast("string"), F.lit(".bin")))
     content = F.repeat(F.char(97 + F.col("s") % 26), F.expr(_LENGTH).cast("int")).cast("binary")
-    d.stored("media-files", files.write_contents(rows.select("path", content.alias("content")), root))
+    fresh = d.workspace()
+    made = d.stored("media-files", files.write_contents(rows.select("path", content.alias("content")), fresh).withColumn("root", F.lit(fresh)))
+    root = (made.first() or {"root": fresh})["root"]
     return root, rows.withColumn("at", F.concat(F.lit(root + "/"), "path"))
 
 
@@ -101,7 +101,8 @@ def _(d: Driver) -> DataFrame:
 
 # PNG files, made row by row with each of the filters.
 def make_png(k: int) -> bytes:
-    """A file of pixels (k + 3 y + x) % 256; every 7th has a wrong checksum, every 11th a filter that doesn't exist."""
+    """A file of pixels (k + 3 y + x) % 256; every 7th has a wrong checksum, every 11th a filter that doesn't
+    exist. Every other has its XMP in a packed text, stored without compression so that its size is known."""
     channels = 3 if k % 2 else 1
     w, h = (1 + k % 4) * channels, 1 + k % 3
     lines, above = b"", [0] * w
@@ -116,7 +117,7 @@ def make_png(k: int) -> bytes:
         lines += bytes([7 if k % 11 == 4 and y == h - 1 else kind, *out])
         above = row
     part = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
-    text = part(b"iTXt", P.XMP_KEYWORD + b"\0\1\0\0\0" + zlib.compress(f"<p k={k}/>".encode())) if k % 2 else part(b"tEXt", P.XMP_KEYWORD + b"\0" + f"<p k={k}/>".encode())
+    text = part(b"iTXt", P.XMP_KEYWORD + b"\0\1\0\0\0" + zlib.compress(f"<p k={k}/>".encode(), 0)) if k % 2 else part(b"tEXt", P.XMP_KEYWORD + b"\0" + f"<p k={k}/>".encode())
     data = C.PNG_SIGNATURE + part(b"IHDR", struct.pack(">iiBBBBB", w // channels, h, 8, 2 if k % 2 else 0, 0, 0, 0)) + text + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
     return data[:-1] + bytes([data[-1] ^ 1]) if k % 7 == 3 else data
 
@@ -141,9 +142,9 @@ query(
     _PNG + "SELECT k, reason, CASE WHEN reason IS NULL THEN w END AS width, CASE WHEN reason IS NULL THEN h END AS height, CASE WHEN reason IS NULL THEN list_sum(flatten(list_transform(range(h), lambda y: list_transform(range(w * ch), lambda x: (k + 3 * y + x) % 256))))::BIGINT END AS pixels FROM n",
 )(lambda d: whole_pngs(d).select("k", P.facts_column(F.col("content")).alias("f")).select("k", "f.reason", "f.width", "f.height", "f.pixels"))
 query("b30_png_xmp", _PNG + "SELECT k, CASE WHEN reason IS DISTINCT FROM 'PNG_CHUNK_CRC' THEN '<p k=' || k || '/>' END AS xmp FROM n")(lambda d: whole_pngs(d).select("k", C.column(P.packet, "string")(F.col("content")).alias("xmp")))
-query("a18_b31_png_archive", _PNG + "SELECT k, 25 + 12 + 12 + 17 + 1 + length('<p k=' || k || '/>') AS metadata, 8 + 25 + 12 + 12 + 17 + 1 + length('<p k=' || k || '/>') AS archived, true AS same FROM n WHERE k % 7 <> 3 AND k % 2 = 0")(
-    # Files with a plain text chunk, whose bytes are known beforehand, and sound checksums.
-    lambda d: whole_pngs(d).filter("k % 7 <> 3 AND k % 2 = 0").select("k", C.column(P.archived, "struct<metadata:long,archived:long,same:boolean>")(F.col("content")).alias("a")).select("k", "a.metadata", "a.archived", "a.same")
+_META = "25 + 12 + 12 + 18 + length('<p k=' || k || '/>') + CASE WHEN k % 2 = 0 THEN 0 ELSE 15 END"
+query("a18_b31_png_archive", _PNG + f"SELECT k, CASE WHEN ok THEN {_META} END AS metadata, CASE WHEN ok THEN 8 + {_META} END AS archived, CASE WHEN ok THEN true END AS same FROM (SELECT *, reason IS DISTINCT FROM 'PNG_CHUNK_CRC' AS ok FROM n)")(
+    lambda d: whole_pngs(d).select("k", C.column(P.archived, "struct<metadata:long,archived:long,same:boolean>")(F.col("content")).alias("a")).select("k", "a.metadata", "a.archived", "a.same")
 )
 
 # JPEG and multi-picture files.

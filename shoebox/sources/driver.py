@@ -90,8 +90,9 @@ FROM {ledger}
 CACHE_CHANGES = {"data_path": "CASE WHEN id % 29 = 0 THEN concat(data_path, '.old') ELSE data_path END", "date_modified_sec": "CASE WHEN id % 17 = 0 THEN date_modified_sec - 5 ELSE date_modified_sec END"}
 
 
-#: Stored relations of a session's directories: what the views of one query need is there for the next one's.
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+#: Folders of stored relations, by application, directory and name: what the views of one query need is there for the
+#: next one's.
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
 class Driver:
@@ -145,13 +146,17 @@ class Driver:
         return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
 
     def stored(self, name: str, df: DataFrame) -> DataFrame:
-        """``df`` as a written table, once for each session, directory and name."""
+        """``df`` as a written table, once for each application, directory and name; again where it was removed."""
         key = (self.spark.sparkContext.applicationId, self.dir, name)
-        if key not in _STORED:
+        if key not in _STORED or not self.exists(f"{_STORED[key]}/_SUCCESS"):
             at = self.workspace()
             df.write.parquet(at)
-            _STORED[key] = self.spark.read.schema(df.schema).parquet(at)
-        return _STORED[key]
+            _STORED[key] = at
+        return self.spark.read.schema(df.schema).parquet(_STORED[key])
+
+    def exists(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def library(self, **settings):
         """Views over stored tables: each derived relation is written once and read as often as the views need."""
