@@ -354,10 +354,11 @@ def nearest(
     if base.groupBy("vec_id").count().filter("count > 1").limit(1).count():
         base = materialize(base.groupBy("vec_id").agg(F.min("v").alias("v")), "ann-base")
     classes = materialize(base.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "ann-classes")
-    # The norm's logarithm, as squares of large components overflow.
-    largest = F.array_max(F.transform("v", F.abs)).cast("double")
-    square = F.aggregate(F.transform("v", lambda x: x / largest), F.lit(0.0), lambda s, x: s + x * x)
-    n, most = classes.agg(F.count("*"), F.max(F.log2(largest) + F.log2(square) / 2)).first()
+    n, largest = classes.agg(F.count("*"), F.max(F.greatest(F.array_max("v"), -F.array_min("v"))).cast("double")).first()
+    # The largest norm's logarithm, from shares of the largest component, as squares may overflow.
+    share = lambda x: x.cast("double") / largest
+    square = classes.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + share(x) * share(x)))).first()[0]
+    most = float(np.log2(largest) + np.log2(square) / 2)
     sample = classes.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(max(2, min(SAMPLE, SAMPLE_NUMBERS // length.d))).select("v").toArrow()
     forest = fit(_matrix(sample.column(0).combine_chunks()), n, most, trees)
     blocks = max(LEAST_BLOCKS, -(-n // max(1, min(block_rows, BLOCK_NUMBERS // length.d))))
