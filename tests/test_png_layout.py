@@ -84,3 +84,19 @@ def test_names(spark):
     existing = spark.createDataFrame([("/d", "a.jpg"), ("/d", "a_2.jpg"), ("/d", "a_x.jpg"), ("/d", "plain_1.jpg")], "directory string, name string")
     got = {r.seq: r.destination for r in layout.unique_destinations(wanted, existing).collect()}
     assert got == {1: "a_1.jpg", 2: "a_3.jpg", 3: "a.b.jpg", 4: "a.jpg", 5: "a_4.jpg", 6: "é" * 125 + ".jpg", 7: "plain.jpg"}
+
+
+def test_names_of_large_groups(spark):
+    """Against a search name by name; rows of a group carry no list of the group's numbers."""
+    wanted = [("/d", f"{'ab'[i % 2]}.png", (i * 7) % 500) for i in range(500)] + [(None, "a.png", 1), (None, "a.png", 2), ("/d", None, 1000)]
+    existing = [("/d", f"a_{n}.jpg") for n in (1, 2, 5, 6, 90, 250, 10**9, 10**10)] + [("/d", "a.jpg"), ("/d", "a_2.jpg"), ("/d", "a_07.jpg"), ("/d", "b_3.jpg"), ("/d", None), (None, "z.jpg")]
+    got = layout.unique_destinations(spark.createDataFrame(wanted, "directory string, name string, seq int"), spark.createDataFrame(existing, "directory string, name string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "collect_set(" not in plan
+    there, want = set(existing), set()
+    for folder, name, seq in sorted(wanted, key=lambda x: x[2]):
+        if name:
+            found = next(x for n in range(1000) if (folder, x := name[0] + (f"_{n}" if n else "") + ".jpg") not in there)
+            there.add((folder, found))
+        want.add((folder, name, seq, found if name else None))
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(wanted)
