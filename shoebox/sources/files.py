@@ -96,8 +96,15 @@ def read_bytes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length), relative to ``path``; contents aren't read."""
-    rows = read_bytes(spark, path).select("path", "length")
+    """(path, length), relative to ``path``; contents aren't read. Spark lists folders in a task each, if it
+    isn't held to fewer: those of one file would cost more than what is done with it."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 2 * spark.sparkContext.defaultParallelism)
+    try:
+        rows = read_bytes(spark, path).select("path", "length")
+    finally:
+        spark.conf.set(name, before)
     root = path.removeprefix("file://").rstrip("/") + "/"
     return rows.select(F.substring_index("path", root, -1).alias("path"), "length")
 
@@ -184,6 +191,19 @@ def write_contents(rows: DataFrame, root: str) -> DataFrame:
     return by_row(rows.select("path", "content"), write, "path string, length long")
 
 
+def write_runs(rows: DataFrame, root: str) -> DataFrame:
+    """Write files of one byte n times (path below ``root``, byte int, n), of any size: (path, length)."""
+
+    def write(path: str, byte: int, n: int):
+        part = bytes([byte]) * BUFFER
+        with Store(safe_path(root, path)).write() as f:
+            for at in range(0, n, BUFFER):
+                f.write(part[: n - at])
+        return path, n
+
+    return by_row(rows.select("path", "byte", "n"), write, "path string, length long")
+
+
 def safe_path(root: str, relative: str) -> str:
     """A path strictly below ``root``, by name; anything that climbs out is an error."""
     parts = relative.split("/")
