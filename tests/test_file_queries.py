@@ -11,7 +11,7 @@ from shoebox.sources.driver import Driver
 
 SF = "/root/testdata/sf0.001"
 WAVE = 2 << 20
-QUERIES = ["k17_copies", "s13_head_and_tail", "k18_k19_backups", "s14_tail_window"]
+QUERIES = ["k17_copies", "s13_head_and_tail", "k18_k19_backups", "s14_tail_window", "s12_header_bytes"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
