@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HEADER, TAIL, WINDOW, BUFFER = 256 * 1024, 512 * 1024, 2 << 20, 256 * 1024
-#: Bytes of contents in an Arrow batch that leaves a task.
-BATCH_BYTES = 16 << 20
+#: Bytes of contents in an Arrow batch that leaves a task, beside those of its last row. A task holds them several times over,
+#: in Python, on the way and in the JVM; in a local session, all tasks' are in the driver.
+BATCH_BYTES = 4 << 20
 
 
 class Store:

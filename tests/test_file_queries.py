@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from shoebox.plans import file_queries, registry
@@ -58,3 +59,23 @@ def test_joins_hold_no_contents(spark, monkeypatch, name):
     monkeypatch.setattr(frame, "join", joined)
     registry.queries()[name](spark, SF)
     assert "read" in plans and "string" in plans and "binary" not in plans
+
+
+@pytest.mark.parametrize(("head", "tail"), [(0, files.TAIL)])
+def test_batches_of_windows(spark, tmp_path, head, tail):
+    """A task hands its windows on in small batches, however many files it reads, and loses none."""
+
+    class Frame:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    sizes = {f"{tmp_path}/{k}.bin": k * 40_000 for k in range(50)}
+    for path, n in sizes.items():
+        Path(path).write_bytes(bytes(range(250)) * (n // 250))
+    batches = list(files.windows(Frame(), head, tail)([pa.RecordBatch.from_pydict({"path": list(sizes)})]))
+    assert max(b.nbytes for b in batches) < (4 << 20) + head + tail + 10_000
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [(r["path"], r["length"]) for r in rows] == list(sizes.items())
+    for r in rows:
+        content = Path(r["path"]).read_bytes()
+        assert (r["head"], r["tail"]) == (content[:head], content[max(0, len(content) - tail) :])
