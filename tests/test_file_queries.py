@@ -61,7 +61,7 @@ def test_joins_hold_no_contents(spark, monkeypatch, name):
     assert "read" in plans and "string" in plans and "binary" not in plans
 
 
-@pytest.mark.parametrize(("head", "tail"), [(0, files.TAIL)])
+@pytest.mark.parametrize(("head", "tail"), [(0, files.TAIL), (files.HEADER, 0)])
 def test_batches_of_windows(spark, tmp_path, head, tail):
     """A task hands its windows on in small batches, however many files it reads, and loses none."""
 
