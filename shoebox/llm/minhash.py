@@ -339,14 +339,15 @@ class NearDuplicates:
     def _named(self) -> DataFrame:
         """(node, first), written."""
         buckets = self._buckets()
-        links = self._verified(self._leader_pairs(buckets))
+        most = buckets.count() // 2  # keys, as each has two nodes at least
+        links = self._verified(self._leader_pairs(buckets, most))
         merged = connected_components(links, self.one_task)
-        apart = self._apart(buckets, merged)
-        dealt = self._blocks(apart, ["node", "component", "n", "s1", "s2"])
-        hopeful = materialize(dealt.mapInArrow(lean(_hopeful(self.percent)), "node binary").distinct(), "minhash-hopeful")
+        apart = self._apart(buckets, merged, most)
+        dealt = self._blocks(apart, ["node", "component", "n", "s1", "s2"], most)
+        hopeful = dealt.mapInArrow(lean(_hopeful(self.percent)), "node binary").distinct()
         sets = self._sets_of(hopeful.join(self.classes.select("node", "rep"), "node"))
         rows = apart.select("key", "node", "component", "n").join(sets, "node")
-        more = self._blocks(rows, ["node", "component", "shingles"]).mapInArrow(lean(_forest(self.percent)), "u binary, v binary")
+        more = self._blocks(rows, ["node", "component", "shingles"], most).mapInArrow(lean(_forest(self.percent)), "u binary, v binary")
         return self._result(connected_components(links.union(more), self.one_task))
 
     def _buckets(self) -> DataFrame:
@@ -355,24 +356,24 @@ class NearDuplicates:
         many = rows.groupBy("key").count().filter("count > 1").select("key")
         return materialize(rows.join(sized(many, "minhash-keys"), "key", "left_semi"), "minhash-buckets")
 
-    def _leader_pairs(self, buckets: DataFrame) -> DataFrame:
+    def _leader_pairs(self, buckets: DataFrame, most: int) -> DataFrame:
         """Each node with its bucket's leader."""
-        leaders = sized(buckets.groupBy("key").agg(F.min("node").alias("lead")), "minhash-leaders")
+        leaders = sized(buckets.groupBy("key").agg(F.min("node").alias("lead")), "minhash-leaders", bound=most)
         return buckets.join(leaders, "key").filter("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct()
 
-    def _apart(self, buckets: DataFrame, merged: DataFrame) -> DataFrame:
+    def _apart(self, buckets: DataFrame, merged: DataFrame, most: int) -> DataFrame:
         """(key, node, component, n, s1, s2) of the buckets that hold nodes of several components."""
         facts = self.classes.select("node", "n", "s1", "s2").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
         rows = materialize(buckets.join(facts, "node"), "minhash-rows")
         several = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-        return rows.join(sized(several, "minhash-several"), "key", "left_semi")
+        return rows.join(sized(several, "minhash-several", bound=most), "key", "left_semi")
 
-    def _blocks(self, rows: DataFrame, columns: list[str]) -> DataFrame:
+    def _blocks(self, rows: DataFrame, columns: list[str], most: int) -> DataFrame:
         """The rows of each bucket dealt into pairs of blocks, which stand together and in order."""
         n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         blocks = F.greatest(F.ceil(F.count("*") / self.block), F.ceil(F.sum("n") / self.block_shingles)).cast("int")
         sizes = rows.groupBy("key").agg(blocks.alias("blocks")).filter("blocks > 1")
-        dealt = rows.join(sized(sizes, "minhash-sizes"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = rows.join(sized(sizes, "minhash-sizes", bound=most), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), *columns)
@@ -383,11 +384,13 @@ class NearDuplicates:
         bits = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
         return fits & (bits <= MOST_BITS)
 
-    def _sets_of(self, wanted: DataFrame) -> DataFrame:
-        """(node, shingles) of the nodes in ``wanted`` (node, rep), from the texts of their documents."""
-        wanted = materialize(wanted, "minhash-wanted")
+    def _sets_of(self, wanted: DataFrame, bound: int | None = None) -> DataFrame:
+        """(node, shingles) of the nodes in ``wanted`` (node, rep; ``bound`` rows at most), from the texts of their documents."""
+        if bound is None or bound > BROADCAST_ROWS:
+            wanted = materialize(wanted, "minhash-wanted")
+            bound = wanted.count()
         ids = wanted.select(F.col("rep.doc_id").alias("want"), F.col("rep.text_hash").alias("want_hash")).distinct()
-        if wanted.count() <= BROADCAST_ROWS:
+        if bound <= BROADCAST_ROWS:
             ids = F.broadcast(ids)
         same = F.col("doc_id").eqNullSafe(F.col("want")) & (F.col("text_hash") == F.col("want_hash"))
         texts = self.docs.join(ids, same, "left_semi").select("text")
@@ -401,7 +404,7 @@ class NearDuplicates:
         b = facts.select(*[F.col(c).alias(f"{c}_b") for c in facts.columns])
         known = pairs.join(a, F.col("u") == F.col("node_a")).join(b, F.col("v") == F.col("node_b")).filter(self._possible())
         known = materialize(known.select("u", "v", "rep_a", "rep_b"), "minhash-pairs")
-        sets = self._sets_of(known.select(F.col("u").alias("node"), F.col("rep_a").alias("rep")).union(known.select("v", "rep_b")).distinct())
+        sets = self._sets_of(known.select(F.col("u").alias("node"), F.col("rep_a").alias("rep")).union(known.select("v", "rep_b")).distinct(), 2 * known.count())
         left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
         both = known.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "x", "y")
@@ -413,7 +416,7 @@ class NearDuplicates:
         reps = self.classes.select("node", "rep")
         least = merged.select("node", "component").union(roots).join(reps, "node").groupBy("component").agg(F.min("rep").alias("first"))
         named = reps.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        named = named.join(sized(least, "minhash-first"), "component", "left").select("node", F.coalesce("first", "rep").alias("first"))
+        named = named.join(sized(least, "minhash-first", bound=merged.count()), "component", "left").select("node", F.coalesce("first", "rep").alias("first"))
         return materialize(named, "minhash-named")
 
 

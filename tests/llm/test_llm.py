@@ -315,6 +315,32 @@ def test_near_duplicates(spark, k):
     assert minhash.near_duplicates(documents(spark, rows).limit(0), words=k).count() == 0
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_near_duplicates_side_tables(spark, monkeypatch, few):
+    """Side tables that are bound to be small aren't written, as each of their partitions would be a file; larger ones are.
+    The rows are the same."""
+    rng = np.random.default_rng(24)
+    rows = list(ODD)
+    for base in range(4):
+        words = [f"w{x}" for x in rng.integers(0, 4000, 80)]
+        for copy in range(30):
+            w = list(words)
+            for at in rng.integers(0, len(w), rng.integers(0, 12)):
+                w[at] = f"n{rng.integers(0, 10**6)}"
+            rows.append((100 * (base + 1) + copy, " ".join(w), "s"))
+    labels, write = [], store.materialize
+    for module in (store, minhash):
+        monkeypatch.setattr(module, "materialize", lambda df, label: labels.append(label) or write(df, label))
+    if not few:
+        monkeypatch.setattr(minhash, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(minhash, "sized", lambda df, label, **bounds: store.sized(df, label, -1, **bounds))
+    got = minhash.near_duplicates(documents(spark, rows), words=2, block=16).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(rows, 2, 80))
+    side = {"minhash-leaders", "minhash-several", "minhash-sizes", "minhash-first"}
+    assert side & set(labels) == (set() if few else side)
+    assert labels.count("minhash-wanted") == (1 if few else 2) and "minhash-hopeful" not in labels
+
+
 def test_near_duplicates_in_small_blocks(spark):
     """Bounds of blocks and components don't change the result."""
     rng = np.random.default_rng(14)
